@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.llm import chat
 from tidelog.llm.common import Stage
+from tidelog.llm.html_text import extract
 from tidelog.llm.packing import pack
 from tidelog.llm.token_files import read_token_files, write_token_files
+from tidelog.llm.warc import read_archives, write_archives
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -22,6 +25,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_turns(turns, TOKENIZER), TOKENIZER)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = Stage(spark, "warc")
+    rows = read_archives(write_archives(table(spark, sf_dir, "pages"), stage, min_revisit_bytes=0))
+    return rows.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark, "token-files")
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), TOKENIZER, stage))
@@ -30,6 +50,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_html_text": op2_html_text,
+        "op3_chat": op3_chat,
+        "op4_warc": op4_warc,
         "op8_token_files": op8_token_files,
     }
 

@@ -27,6 +27,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
         self.most, self.words, self.heads = most, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -73,3 +74,25 @@ def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
+
+
+def _byte_of_character() -> dict[str, int]:
+    """The characters that byte-level vocabularies write for bytes: printable ones for themselves, then from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+_BYTES: dict[str, list[bytes]] = {}
+
+
+def id_bytes(path: str) -> list[bytes]:
+    """The bytes that each id of a byte-level vocabulary stands for."""
+    if path not in _BYTES:
+        tokenizer, byte = encoder(path).tokenizer, _byte_of_character()
+        special = {i: t.content.encode() for i, t in tokenizer.get_added_tokens_decoder().items()}
+        table = [b""] * tokenizer.get_vocab_size()
+        for token, i in tokenizer.get_vocab().items():
+            table[i] = special.get(i) or bytes(byte[c] for c in token)
+        _BYTES[path] = table
+    return _BYTES[path]
