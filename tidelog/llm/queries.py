@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from tidelog.llm import chat
+from pyspark.sql import functions as F
+
+from tidelog.llm import chat, toxicity
 from tidelog.llm.common import Stage
 from tidelog.llm.html_text import extract
 from tidelog.llm.packing import pack
 from tidelog.llm.token_files import read_token_files, write_token_files
+from tidelog.llm.topk import top_k
 from tidelog.llm.warc import read_archives, write_archives
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +45,20 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def held_out() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"), Stage(spark, "toxicity"))
+    return toxicity.score(docs, lexicon).select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_matches")
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark, "token-files")
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), TOKENIZER, stage))
@@ -53,6 +70,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_text": op2_html_text,
         "op3_chat": op3_chat,
         "op4_warc": op4_warc,
+        "op6_toxicity": op6_toxicity,
+        "op9_top_k": op9_top_k,
         "op8_token_files": op8_token_files,
     }
 
