@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import chat, toxicity
 from tidelog.llm.common import Stage
+from tidelog.llm.decontam import find_items
 from tidelog.llm.html_text import extract
 from tidelog.llm.packing import pack
 from tidelog.llm.token_files import read_token_files, write_token_files
@@ -64,6 +65,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), TOKENIZER, stage))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op9_top_k": op9_top_k,
         "op8_token_files": op8_token_files,
+        "op10_decontamination": op10_decontamination,
     }
 
 
