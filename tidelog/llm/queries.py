@@ -14,6 +14,7 @@ from tidelog.llm.common import Stage
 from tidelog.llm.decontam import find_items
 from tidelog.llm.html_text import extract
 from tidelog.llm.packing import pack
+from tidelog.llm.substring import remove_repeats
 from tidelog.llm.token_files import read_token_files, write_token_files
 from tidelog.llm.topk import top_k
 from tidelog.llm.warc import read_archives, write_archives
@@ -60,6 +61,12 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return remove_repeats(docs, Stage(spark, "substring")).select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark, "token-files")
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), TOKENIZER, stage))
@@ -77,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": op4_warc,
         "op6_toxicity": op6_toxicity,
         "op9_top_k": op9_top_k,
+        "op7_substring": op7_substring,
         "op8_token_files": op8_token_files,
         "op10_decontamination": op10_decontamination,
     }
