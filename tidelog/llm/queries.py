@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, toxicity
+from tidelog.llm import chat, ngram_join, toxicity
 from tidelog.llm.common import Stage
 from tidelog.llm.decontam import find_items
 from tidelog.llm.html_text import extract
@@ -47,6 +47,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), Stage(spark, "ngram-join"), k=4, percent=85)
+
+
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_text": op2_html_text,
         "op3_chat": op3_chat,
         "op4_warc": op4_warc,
+        "op5_ngram_join": op5_ngram_join,
         "op6_toxicity": op6_toxicity,
         "op9_top_k": op9_top_k,
         "op7_substring": op7_substring,
