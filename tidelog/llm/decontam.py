@@ -9,8 +9,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidelog.llm.common import shingle_hashes, text_batches, utf8, word_hashes
 
@@ -163,6 +163,8 @@ class Searcher:
     def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
         """Pairs (first word of the passage, item) whose fingerprints lie within the radius."""
         found: set[tuple[int, int]] = set()
+        if not self.classes:
+            return found
         for at in range(0, len(words), _PART):
             part = words[at : at + _PART + 256]
             if len(part) < 2:
@@ -198,47 +200,71 @@ def find_items(docs: DataFrame, items: DataFrame, least: float = 0.8, lot: int =
     Items of fewer than five words have no shingle and are found nowhere; null texts are empty.
     Repeated documents give repeated rows, a null doc_id stays null.
     """
-    rows = items.select("item_id", "text").filter("text is not null").dropDuplicates(["item_id", "text"]).orderBy("item_id", "text")
-    lots, part = [], []
-    for r in rows.toLocalIterator():
-        part.append(r.asDict())
-        if len(part) == lot:
-            lots.append(_find_lot(docs, part, least))
-            part = []
-    if part or not lots:
-        lots.append(_find_lot(docs, part, least))
+    lots = [_find_lot(docs, rows, least) for rows in _lots(items, lot)]
     out = lots[0]
     for more in lots[1:]:
         out = out.unionByName(more)
     return out
 
 
+def _lots(items: DataFrame, size: int) -> Iterator[list[dict]]:
+    """The items in lots, fetched one partition at a time; one empty lot if there are none."""
+    rows = items.select("item_id", "text").filter("text is not null").dropDuplicates(["item_id", "text"]).orderBy("item_id", "text")
+    part: list[dict] = []
+    some = False
+    for r in rows.toLocalIterator():
+        part.append(r.asDict())
+        if len(part) == size:
+            yield part
+            part, some = [], True
+    if part or not some:
+        yield part
+
+
+def _hits(searcher: Searcher, batch: pa.RecordBatch, least: float) -> Iterator[tuple[int, dict]]:
+    """For each document of a batch, in its order: what was found in it."""
+    text = pa.compute.utf8_lower(batch.column("text"))
+    for lo, hi in text_batches(text):
+        words, at = word_hashes(*utf8(text.slice(lo, hi - lo)))
+        found: dict[int, dict] = {}
+        for start, item in sorted(searcher.candidates(words)):
+            # a candidate may begin a word before its document or end behind it: cut to the document
+            n = len(searcher.items[item].words)
+            doc = int(np.searchsorted(at, max(0, start + n // 2), "right")) - 1
+            if doc < hi - lo:
+                begin, end = int(at[doc]), int(at[doc + 1])
+                searcher._verify(words[begin:end], start - begin, item, found.setdefault(doc, {}), least)
+        yield from ((lo + doc, best) for doc, best in sorted(found.items()) if best)
+
+
 def _find_lot(docs: DataFrame, rows: list[dict], least: float) -> DataFrame:
     names = [x.split()[0] for x in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(_items(rows))
-        if not searcher.items:
-            for _ in batches:
-                pass
-            return
         for batch in batches:
-            text = batch.column("text")
-            for lo, hi in text_batches(text):
-                buf, offsets = utf8(text.slice(lo, hi - lo))
-                words, at = word_hashes(buf, offsets)
-                found: dict[int, dict] = {}
-                for start, item in sorted(searcher.candidates(words)):
-                    # a candidate may begin a word before its document or end behind it: cut to the document
-                    n = len(searcher.items[item].words)
-                    doc = int(np.searchsorted(at, max(0, start + n // 2), "right")) - 1
-                    if doc < hi - lo:
-                        begin, end = int(at[doc]), int(at[doc + 1])
-                        searcher._verify(words[begin:end], start - begin, item, found.setdefault(doc, {}), least)
-                out = [(lo + doc, searcher.items[i].item_id, s, first, n) for doc, best in sorted(found.items()) for i, (s, first, n) in sorted(best.items())]
-                if out:
-                    doc, *rest = zip(*out, strict=True)
-                    kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))], names)
-
-    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(run, FOUND)
+            out = [(doc, searcher.items[i].item_id, *found) for doc, best in _hits(searcher, batch, least) for i, found in sorted(best.items())]
+            if out:
+                doc, *rest = zip(*out, strict=True)
+                kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+
+
+def drop_found(docs: DataFrame, items: DataFrame, least: float = 0.8, lot: int = 4096) -> DataFrame:
+    """``docs``, all columns, without the documents in which :func:`find_items` finds an item; nothing is shuffled."""
+    for rows in _lots(items, lot):
+        docs = _drop_lot(docs, rows, least)
+    return docs
+
+
+def _drop_lot(docs: DataFrame, rows: list[dict], least: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = Searcher(_items(rows))
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[doc for doc, _ in _hits(searcher, batch, least)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -265,17 +266,17 @@ def remove_repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame
     are and remove nothing.
     """
     found = repeats(docs, stage, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "first")).alias("found"))
-    found = stage.save(found.select(F.col("doc_id").alias("found_doc_id"), "found"), "found")
+    found = stage.save(found.select(F.col("doc_id").alias("__found_doc_id"), F.col("found").alias("__found")), "found")
     stage.drop("segments")
     others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
-    joined = docs.join(found, docs["doc_id"] == F.col("found_doc_id"), "left").select(*(docs[c] for c in others), docs["text"], "found")
+    joined = docs.join(found, docs["doc_id"] == F.col("__found_doc_id"), "left").select(*(docs[c] for c in others), docs["text"], "__found")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*others).schema) + ", text string, n_words long, n_removed long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in text_batches(batch.column("text"), 1 << 24):
                 part = batch.slice(lo, hi - lo)
-                texts, keys, found = part.column("text").to_pylist(), part.column("doc_id").to_pylist(), part.column("found")
+                texts, keys, found = part.column("text").to_pylist(), part.column("doc_id").to_pylist(), part.column("__found")
                 size = pa.compute.fill_null(pa.compute.list_value_length(found), 0).to_pylist()
                 n_words, n_removed = [], []
                 for i, text in enumerate(texts):

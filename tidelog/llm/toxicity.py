@@ -191,6 +191,22 @@ def _matched(docs: DataFrame, lexicon: Lexicon, raw: bool = False) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCORES)
 
 
+def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``docs``, all columns, without the documents whose score is 0.5 or more; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            keep = []
+            for at in range(0, batch.num_rows, 256):
+                for text in batch.column("text").slice(at, 256).to_pylist():
+                    folded = fold(text)
+                    keep.append(lexicon.score(matches(automaton, folded)[0], folded.count(" ") - 1) < 0.5)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Toxicity of each document from its whole text: score (0 to 1), predicted, n_matches, n_words.
 
