@@ -9,6 +9,8 @@ import pytest
 
 from conftest import rows_of
 from tidelog.queries import ORACLES, QUERIES
+from tidelog.streaming.queries import ORACLES as STREAM_ORACLES
+from tidelog.streaming.queries import QUERIES as STREAMS
 
 
 @pytest.fixture(scope="module")
@@ -28,3 +30,11 @@ def test_query_equals_sql(name, spark, duck, sf_dir):
     want = result.fetchall()
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, got) == rows_of(columns, want)
+
+
+@pytest.mark.parametrize("name", sorted(STREAM_ORACLES))
+def test_stream_equals_sql(name, spark, duck, sf_dir):
+    df = STREAMS[name](spark, sf_dir)
+    result = duck.execute(STREAM_ORACLES[name])
+    columns = [c[0] for c in result.description]
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, result.fetchall())
