@@ -1,76 +1,11 @@
-"""What several operators share: the shared folder, staged tables, word hashing."""
+"""What several operators share: texts as bytes, and hashes of words and of word sequences."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session has none (tests in local mode) a temporary folder of our own is used.
-    """
-    global _own_dir
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if _own_dir is None:
-            _own_dir = tempfile.mkdtemp(prefix="tidelog-")
-        base = _own_dir
-    return base.rstrip("/")
-
-
-class Stage:
-    """Tables written to the shared folder between the steps of one operator.
-
-    A written table survives lost executors and cuts the lineage. ``drop`` removes one that is no
-    longer needed; what is left goes when the driver's Python ends.
-    """
-
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/tidelog/{what}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self._forget)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return the table as read again."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        schema = df.schema
-        del df
-        self._let_go()
-        return self.spark.read.schema(schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        self._delete(self.path(name))
-
-    def _let_go(self) -> None:
-        # Shuffle files stay on the executors' disks until the driver collects its garbage.
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-    def _forget(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
-            try:
-                self._delete(self.root)
-            except Exception:  # the JVM may already be gone when Python ends
-                return
-
 
 # --------------------------------------------------------------------------- words
 

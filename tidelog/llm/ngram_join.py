@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Stage, mix, shingle_hashes, text_batches, utf8, word_hashes
+from tidelog.llm.common import mix, shingle_hashes, text_batches, utf8, word_hashes
 from tidelog.llm.components import components
+from tidelog.stage import Stage
 
 SETS = "doc_id long, n long, sig long, block int, counts binary"
 POSTINGS = "h long, sig long, n long, r0 long, later boolean"

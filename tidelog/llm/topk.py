@@ -33,7 +33,7 @@ class Blocks:
         bound = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
         order = np.argsort(-bound, axis=1, kind="stable")
         n = len(keys)
-        ids, scores = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf)
+        ids, scores = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf, queries.dtype)
         active, visits = np.arange(n), 0
         for turn in range(len(self.ids)):
             active = active[bound[active, order[active, turn]] >= scores[active, -1]]
@@ -57,10 +57,11 @@ class Blocks:
         lot, got, k = lot[keep], got[keep], ids.shape[1]
         every = np.concatenate([scores[lot], got], 1)
         names = np.concatenate([ids[lot], np.broadcast_to(self.ids[b], got.shape)], 1)
-        names = np.where(np.isneginf(every), np.iinfo(np.int64).max, names)
+        none = every == -np.inf
+        names = np.where(none, np.iinfo(np.int64).max, names)
         best = np.lexsort((names, -every), axis=1)[:, :k]
         scores[lot] = np.take_along_axis(every, best, 1)
-        ids[lot] = np.where(np.isneginf(scores[lot]), -1, np.take_along_axis(names, best, 1))
+        ids[lot] = np.where(np.take_along_axis(none, best, 1), -1, np.take_along_axis(names, best, 1))
 
 
 def _integers(vectors: DataFrame) -> DataFrame:
@@ -80,7 +81,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     Candidates are all rows but those of the query's own vec_id; ties go to the smaller vec_id.
     Vectors are only compared with those of their own length. Null vec_ids, null vectors and
     vectors holding null or non-finite values take no part; an empty table gives no rows; repeated
-    rows are candidates as often as they occur, and a query once for each distinct vector.
+    rows are candidates as often as they occur, and a query once for each distinct vector. Scores are
+    exact: in floats where all sums are below 2**53, else in integers; they must fit 64 bits.
 
     Documents are dealt in groups of ranges, ordered by the signs of their first terms so that a
     block's documents are alike and its bounds tight; queries are dealt in sets. Each pair of a
@@ -111,12 +113,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         docs = np.flatnonzero(~is_query)
         docs = docs[np.lexsort((ids[docs], table.column("signs").to_numpy()[docs]))]
         if not len(keys) or not len(docs):
-            best, scores = np.zeros((0, k), np.int64), np.zeros((0, k))
-            keys = keys[:0]
+            keys, best, scores = keys[:0], np.zeros((0, k), np.int64), np.zeros((0, k))
         else:
             best, scores, _ = Blocks(ids[docs], values[docs]).search(keys, asked, k)
-        found = best >= 0 if len(best) else best.astype(bool)
-        found = ~np.isneginf(scores.astype(float)) if len(best) else found
+        found = scores != -np.inf
         number = np.broadcast_to(np.arange(len(keys))[:, None], best.shape)
         return pa.table({"query_id": np.broadcast_to(keys[:, None], best.shape)[found], "query_no": number[found].astype(np.int64), "vec_id": best[found], "score": scores[found].astype(np.int64)})
 
