@@ -45,10 +45,21 @@ def read_topic(log: DataFrame, topic: str, partition: int, count: int, start: in
     return part.filter(F.col("offset").between(first, last)).orderBy("offset")
 
 
-def offsets_for_times(log: DataFrame, times: DataFrame) -> DataFrame:
-    """First offset with a timestamp at or after each (topic, partition, at_us); -1 beyond the end."""
-    rows = times.join(log.select("topic", "partition", "offset", micros().alias("us")), ["topic", "partition"], "left")
-    return rows.groupBy("topic", "partition", "at_us").agg(F.coalesce(F.min(F.when(F.col("us") >= F.col("at_us"), F.col("offset"))), F.lit(-1)).alias("offset"))
+def offsets_for_times(log: DataFrame, times: DataFrame, bucket_us: int = 3_600_000_000) -> DataFrame:
+    """First offset with a timestamp at or after each (topic, partition, at_us); -1 beyond the end.
+
+    Clocks may run backwards, so this is the least offset of all later messages. The log is reduced
+    to the least offset of each hour; messages themselves only meet the times of their own hour.
+    """
+    bucket = lambda us: F.floor(us / bucket_us).alias("bucket")
+    keys = ["topic", "partition", "at_us"]
+    asked = times.select(*keys, bucket(F.col("at_us")))
+    rows = log.select("topic", "partition", "offset", micros().alias("us"), bucket(micros()))
+    hours = rows.groupBy("topic", "partition", "bucket").agg(F.min("offset").alias("offset"))
+    later = asked.join(hours.withColumnRenamed("bucket", "hour"), ["topic", "partition"]).filter("hour > bucket").select(*keys, "offset")
+    same = asked.join(rows, ["topic", "partition", "bucket"]).filter("us >= at_us").select(*keys, "offset")
+    found = later.unionByName(same).groupBy(*keys).agg(F.min("offset").alias("offset"))
+    return times.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("offset", F.lit(-1)).alias("offset"))
 
 
 def partition_offsets(log: DataFrame, specs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="tidelog-")
+            atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
         base = _own_dir
     return base.rstrip("/")
 
