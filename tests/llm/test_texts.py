@@ -45,6 +45,18 @@ def test_words_give_the_ids_of_whole_texts(tokenizer):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_long_texts_are_cut_at_safe_places(tokenizer, monkeypatch):
+    from tidelog.llm import tokens
+
+    rng = random.Random(5)
+    text = "".join(rng.choices(["a", "bc", " ", " ", "\n", "  ", "'s", "é", "12", "!"], k=3000))
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(tokens, "_BIG", 100)
+    assert [x.tolist() for x in encoder(Q.TOKENIZER).encode([text, "a", None, text[:50]])] == [want, tokenizer.encode("a").ids, [], tokenizer.encode(text[:50], add_special_tokens=False).ids]
+    monkeypatch.setattr(tokens, "_PART", 50)
+    assert np.frombuffer(encoder(Q.TOKENIZER)._direct(text), "<u4").tolist() == want
+
+
 def test_packing_covers_each_token_once(spark, tokenizer):
     rows = pack(docs(spark), Q.TOKENIZER, size=256).collect()
     for key, text in set(ODD):

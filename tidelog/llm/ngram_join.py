@@ -285,7 +285,8 @@ def join(docs: DataFrame, stage: Stage, k: int = 4, percent: int = 85) -> DataFr
             out = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("v", "family", "copies", "n")), pa.array(data, pa.binary())], [x.split()[0] for x in MEMBERS.split(", ")])
             yield out.filter(pa.array(own))
 
-    texts = docs.select("doc_id", "text").join(members.withColumn("doc_id", F.col("v")), "doc_id").select("text", "sig", "v", "family", "copies", "n")
+    # members grow with the documents: the same plan at every size, not a broadcast while they are few
+    texts = docs.select("doc_id", "text").join(members.withColumn("doc_id", F.col("v")).hint("merge"), "doc_id").select("text", "sig", "v", "family", "copies", "n")
     full = stage.save(texts.mapInArrow(to_sets, MEMBERS).withColumn("size", _size_class(F.col("n"), percent)), "full")
     blocks = full.groupBy("family", "size").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
     dealt = full.join(blocks, ["family", "size"]).join(blocks.select("family", (F.col("size") - 1).alias("size"), F.col("blocks").alias("above")), ["family", "size"], "left").join(blocks.select("family", (F.col("size") + 1).alias("size"), F.col("blocks").alias("below")), ["family", "size"], "left")

@@ -5,7 +5,8 @@ four-word sequences in it. Runs of windows with one anchor form a segment. Windo
 have equal anchors, so a shard that owns an anchor sees every occurrence of its windows, and the
 work grows with the text, not with its square.
 
-1. Segments' anchors are shuffled, and only anchors that two documents share are kept.
+1. Segments' anchors are counted, with partial counts, and only those that two documents share
+   are kept, by a join that can split an anchor of very many documents.
 2. Segments with such anchors are cut out; equal segments are merged before they are shuffled,
    which leaves of a passage in a third of all documents one row for each task.
 3. Each shard builds an FM-index of its distinct segments (a BWT in a wavelet matrix over packed
@@ -20,16 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import _MULT, Stage, mix, shingle_hashes, text_batches, utf8, word_hashes
+from tidelog.llm.common import _MULT, mix, shingle_hashes, text_batches, utf8, word_hashes
+from tidelog.stage import Stage
 
 GRAM, _MOST = 4, 15
 ANCHORS = "doc_id long, anchor long, place long"
-SEGMENTS = "doc_id long, segments array<struct<anchor:long,seg:long,start:int,n:int,codes:binary>>"
+SEGMENTS = "doc_id long, segments array<struct<seg:long,start:int>>, n long, anchor long, seg long, low long, high long, codes binary"
 FOUND = "seg long, first array<long>"
-_SHARD_WINDOWS = 40_000
+_SHARD_WINDOWS, _FLUSH = 40_000, 200_000
 
 
 # --------------------------------------------------------------------------- FM-index
@@ -105,9 +107,12 @@ class FmIndex:
 def _shard(table: pa.Table, window: int) -> pa.Table:
     """Least doc_id of each window of the shard's segments, for segments that have something to remove."""
     table = table.combine_chunks()
-    seg = table.column("seg").to_numpy()
-    low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
-    column = table.column("codes").chunk(0)
+    # the same segment comes from several tasks
+    seg, at, of = np.unique(table.column("seg").to_numpy(), return_index=True, return_inverse=True)
+    low, high = np.full(len(seg), np.iinfo(np.int64).max), np.full(len(seg), np.iinfo(np.int64).min)
+    np.minimum.at(low, of, table.column("low").to_numpy())
+    np.maximum.at(high, of, table.column("high").to_numpy())
+    column = table.column("codes").chunk(0).take(pa.array(at))
     size = pa.compute.binary_length(column).to_numpy() // 4
     codes = np.frombuffer(b"".join(column.to_pylist()), "<u4")
     n = len(seg)
@@ -205,12 +210,23 @@ def repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame:
                     keys = batch.column("doc_id").slice(lo, hi - lo).to_numpy()
                     yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(anchor[starts].view(np.int64)), pa.array((starts - at[doc]) * 16 + n)], ["doc_id", "anchor", "place"])
 
-    same = Window.partitionBy("anchor")
-    found = rows.mapInArrow(anchors, ANCHORS).withColumn("low", F.min("doc_id").over(same)).withColumn("high", F.max("doc_id").over(same))
-    shared = stage.save(found.filter("low < high").select("doc_id", "anchor", "place"), "shared-anchors")
+    found = stage.save(rows.mapInArrow(anchors, ANCHORS), "anchors")
+    several = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
+    shared = stage.save(found.join(several, "anchor", "left_semi"), "shared-anchors")
+    stage.drop("anchors")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("anchor", pa.int64()), ("seg", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("codes", pa.binary())])
+        names = [x.split()[0] for x in SEGMENTS.replace("struct<seg:long,start:int>", "struct").split(", ")]
+        kind = pa.struct([("seg", pa.int64()), ("start", pa.int32())])
+        kept: dict[int, list] = {}  # distinct segments of this task: anchor, low, high, codes
+
+        def flush() -> pa.RecordBatch:
+            n = len(kept)
+            anchor, low, high, codes = zip(*kept.values(), strict=True)
+            out = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(kind)), pa.nulls(n, pa.int64()), pa.array(anchor, pa.int64()), pa.array(list(kept), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(codes, pa.binary())]
+            kept.clear()
+            return pa.RecordBatch.from_arrays(out, names)
+
         for batch in batches:
             for lo, hi in text_batches(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
@@ -232,26 +248,37 @@ def repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame:
                 doc, starts, n, anchor = doc[once], starts[once], n[once], anchor[once]
                 if not len(starts):
                     continue
-                seg = _keys(words, starts, n, window)
-                span = n + window - 1
-                data = codes[np.repeat(starts, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)].tobytes()
-                ends = np.concatenate([[0], np.cumsum(span * 4)]).astype(np.int32)
-                blobs = pa.Array.from_buffers(pa.binary(), len(span), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-                values = pa.StructArray.from_arrays([pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array((starts - at[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), blobs], fields=list(kind))
-                offsets = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "segments"])
+                seg = _keys(words, starts, n, window).view(np.int64)
+                keys = part.column("doc_id").to_numpy()
+                key = keys[doc]
+                distinct, first, of = np.unique(seg, return_index=True, return_inverse=True)
+                low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
+                np.minimum.at(low, of, key)
+                np.maximum.at(high, of, key)
+                for g, i, a, b in zip(distinct.tolist(), first.tolist(), low.tolist(), high.tolist(), strict=True):
+                    if (old := kept.get(g)) is None:
+                        kept[g] = [int(anchor[i].view(np.int64)), a, b, codes[starts[i] : starts[i] + n[i] + window - 1].tobytes()]
+                    else:
+                        old[1], old[2] = min(old[1], a), max(old[2], b)
+                values = pa.StructArray.from_arrays([pa.array(seg), pa.array((starts - at[doc]).astype(np.int32))], fields=list(kind))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)), values)
+                windows = np.bincount(doc, n, hi - lo).astype(np.int64)
+                none = [pa.nulls(hi - lo, pa.int64())] * 4
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(windows), *none, pa.nulls(hi - lo, pa.binary())], names).filter(pa.array(windows > 0))
+                if len(kept) >= _FLUSH:
+                    yield flush()
+        if kept:
+            yield flush()
 
     places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
-    cut = stage.save(rows.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(segments, SEGMENTS).filter(F.size("segments") > 0), "segments")
+    cut = stage.save(rows.join(places.hint("merge"), "doc_id").select("doc_id", "text", "places").mapInArrow(segments, SEGMENTS), "segments")
     stage.drop("shared-anchors")
 
-    each = cut.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
-    windows = cut.select(F.sum(F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + s["n"]))).first()[0] or 0
-    shards = max(1, windows // _SHARD_WINDOWS)
-    distinct = each.groupBy("anchor", "seg").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("codes").alias("codes"))
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    first = distinct.select(shard, "seg", "low", "high", "codes").groupBy("shard").applyInArrow(lambda table: _shard(table, window), FOUND)
-    first = stage.save(first, "first")
+    windows = cut.agg(F.sum("n")).first()[0] or 0
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, windows // _SHARD_WINDOWS))).alias("shard")
+    distinct = cut.filter("seg is not null").select(shard, "seg", "low", "high", "codes")
+    first = stage.save(distinct.groupBy("shard").applyInArrow(lambda table: _shard(table, window), FOUND), "first")
+    each = cut.filter("segments is not null").select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
     hits = each.select("doc_id", "seg", "start").join(first, "seg").filter(F.exists("first", lambda x: x < F.col("doc_id")))
     return hits.select("doc_id", "start", "first")
 
@@ -269,7 +296,7 @@ def remove_repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame
     found = stage.save(found.select(F.col("doc_id").alias("__found_doc_id"), F.col("found").alias("__found")), "found")
     stage.drop("segments")
     others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
-    joined = docs.join(found, docs["doc_id"] == F.col("__found_doc_id"), "left").select(*(docs[c] for c in others), docs["text"], "__found")
+    joined = docs.join(found.hint("merge"), docs["doc_id"] == F.col("__found_doc_id"), "left").select(*(docs[c] for c in others), docs["text"], "__found")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*others).schema) + ", text string, n_words long, n_removed long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

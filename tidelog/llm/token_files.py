@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Stage
 from tidelog.llm.files import new_file, open_fs
 from tidelog.llm.tokens import encoder
+from tidelog.stage import Stage
 
 MAGIC, BLOCK, TRAILER = b"TLBITS01", 4096, struct.Struct("<QQQQI8s")
 MANIFEST = "part int, path string, docs long, tokens long"
@@ -173,4 +173,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         keys = pa.array(reader.keys[at:to], mask=reader.keys[at:to] == _NULL)
                         yield pa.RecordBatch.from_arrays([keys, pa.array(reader.starts[at:to] + start), pa.array(ends - reader.starts[at:to]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition("path").mapInArrow(run, ROWS)
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(run, ROWS)

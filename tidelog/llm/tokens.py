@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 _SAFE = re.compile(r"(?<=\S)(?=\s)")
 _LONG = 256
-_PART = 1 << 16
+#: A word of letters, signs behind it, and the same again after a line's end: separate pieces for the pre-tokeniser.
+_PARTS = re.compile(r"([^\W\d_]+)([^\w\s']*)(?:\n([^\W\d_]+)([^\w\s']*))?")
+_PART, _BIG = 1 << 16, 1 << 21
 
 
 class WordEncoder:
@@ -18,11 +21,11 @@ class WordEncoder:
     The pre-tokeniser of such files always ends a piece before a space that follows a visible
     character, and before the last space of a run. A text without longer runs of white space can
     therefore be cut at every space, and each word looked up; words not seen before go to the
-    library in one batch. Texts with longer runs are encoded directly, in parts cut at safe places.
+    library in batches, signs behind a word and a line's end by themselves. Texts with longer runs are encoded directly, in parts cut at safe places.
     The cache holds ``most`` words and is emptied when full.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -33,28 +36,64 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: dict[str, bytes], new: set[str], before: str) -> None:
+        names = list(new)
+        for at in range(0, len(names), 4096):
+            part = names[at : at + 4096]
+            words.update(zip(part, self._encode([before + w for w in part]), strict=True))
+
     def _direct(self, text: str) -> bytes:
-        out, at = [], 0
+        return b"".join(x for part in self._parts(text, _PART) for x in self._encode([part]))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """An array of unsigned 32-bit ids for each text; null and empty texts have none.
+
+        Texts are taken some megabytes at a time, and a longer one in parts, so that memory follows
+        the ids, not the words.
+        """
+        out, lot, size = [], [], 0
+        for text in texts:
+            if len(text or "") > _BIG:
+                out += self._some(lot)
+                lot, size = [], 0
+                out.append(np.concatenate([self._some([part])[0] for part in self._parts(text, _BIG)]))
+                continue
+            lot.append(text)
+            size += len(text or "")
+            if size > _BIG:
+                out += self._some(lot)
+                lot, size = [], 0
+        return out + self._some(lot)
+
+    @staticmethod
+    def _parts(text: str, size: int) -> Iterator[str]:
+        at = 0
         while at < len(text):
-            m = _SAFE.search(text, at + _PART) if at + _PART < len(text) else None
+            m = _SAFE.search(text, at + size) if at + size < len(text) else None
             to = m.start() if m else len(text)
-            out += self._encode([text[at:to]])
+            yield text[at:to]
             at = to
-        return b"".join(out)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """An array of unsigned 32-bit ids for each text; null and empty texts have none."""
+    def _some(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [(t or "").split(" ") for t in texts]
         if len(self.words) > self.most:
             self.words.clear()
             self.heads.clear()
         new = set().union(*(s[1:] for s in split)).difference(self.words)
         odd = {w for w in new if not w or w[0].isspace() or len(w) > _LONG}  # white spaces meet before these, or too long to keep
-        new = list(new - odd)
-        for at in range(0, len(new), 4096):
-            self.words.update(zip(new[at : at + 4096], self._encode([f" {w}" for w in new[at : at + 4096]]), strict=True))
-        heads = list({s[0] for s in split if len(s[0]) <= _LONG}.difference(self.heads))
-        self.heads.update(zip(heads, self._encode(heads), strict=True))
+        whole, parts, heads = [], [], {s[0] for s in split if len(s[0]) <= _LONG}
+        for w in new - odd:
+            m = _PARTS.fullmatch(w)
+            if m is None or m.end(1) == len(w):
+                whole.append(w)
+            else:
+                parts.append((w, m.groups()))
+                whole.append(m[1])
+                heads.update(m.group(2, 4) if m[3] is None else (m[2], "\n", m[3], m[4]))
+        self._learn(self.words, set(whole).difference(self.words), " ")
+        self._learn(self.heads, heads.difference(self.heads, (None,)), "")
+        for w, (a, b, c, d) in parts:
+            self.words[w] = self.words[a] + self.heads[b] + (b"" if c is None else self.heads["\n"] + self.heads[c] + self.heads[d])
         out = []
         for text, words in zip(texts, split, strict=True):
             head, words = words[0], words[1:]

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Stage
 from tidelog.llm.files import new_file, open_fs
+from tidelog.stage import Stage
 
 MANIFEST = "path string, records long, bytes long"
 RECORDS = "path string, start long, stop long, kind string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, note string"
@@ -232,4 +232,4 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, RECORDS)
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(run, RECORDS)
