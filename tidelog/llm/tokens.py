@@ -10,6 +10,7 @@ import numpy as np
 
 _SAFE = re.compile(r"(?<=\S)(?=\s)")
 _LONG = 256
+_SPACE = chr(256 + 32)  # what byte-level vocabularies write for a space
 #: A word of letters, signs behind it, and the same again after a line's end: separate pieces for the pre-tokeniser.
 _PARTS = re.compile(r"([^\W\d_]+)([^\w\s']*)(?:\n([^\W\d_]+)([^\w\s']*))?")
 _PART, _BIG = 1 << 16, 1 << 21
@@ -32,14 +33,23 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.most, self.words, self.heads = most, {}, {}
+        self.spaced = np.zeros(self.size, bool)  # ids that begin with a space
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(_SPACE)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: dict[str, bytes], new: set[str], before: str) -> None:
-        names = list(new)
-        for at in range(0, len(names), 4096):
-            part = names[at : at + 4096]
+        """Words behind a space are encoded as one text, which the ids that begin with a space cut again."""
+        names, per = list(new), 512 if before else 4096
+        for at in range(0, len(names), per):
+            part = names[at : at + per]
+            if before:
+                ids = np.array(self.tokenizer.encode_batch_fast([before + before.join(part)], add_special_tokens=False)[0].ids, "<u4")
+                data, cuts = ids.tobytes(), [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)]
+                if len(cuts) == len(part) + 1:
+                    words.update((w, data[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+                    continue
             words.update(zip(part, self._encode([before + w for w in part]), strict=True))
 
     def _direct(self, text: str) -> bytes:
