@@ -229,6 +229,52 @@ def test_items_are_found_wherever_they_lie(spark):
     assert decontam.drop_found(tables[0], tables[1].limit(0)).count() == len(rows)
 
 
+def brute_items(rows, items, least=0.8):
+    """Of all windows as long as an item, cut to the document: best similarity and how many reach ``least``."""
+    shingles = lambda w: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    parts = {i: shingles(words(t.lower())) for i, t in set(items) if len(words(t)) >= 5}
+    seen = Counter(x for c in parts.values() for x in c)
+    rare, weight = np.log(1 + len(parts)), {x: np.log(1 + len(parts) / n) for x, n in seen.items()}
+    out = {}
+    for d, t in rows:
+        w = words((t or "").lower())
+        for i, c in parts.items():
+            n = sum(c.values()) + 4
+            if not c.keys() & shingles(w).keys():
+                continue
+            all_ = [decontam.similarity(shingles(w[max(0, s) : s + n]), c, weight, rare) for s in range(5 - n, len(w) - 4)]
+            if max(all_) >= least - 1e-9:
+                out[d, i] = (round(max(all_), 6), sum(x >= least - 1e-9 for x in all_))
+    return out
+
+
+def edited_passages():
+    """Items, and documents with one of them in which words were changed, put in or left out."""
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([5, 9, 13, 20, 35, 50, 64, 90, 140, 230, 400])]
+    items += [(20 + i, f"{items[i][1]} {' '.join(rng.choices(vocabulary, k=12))}") for i in (3, 4, 5)]  # shared, so of less weight
+    items += [(30, "la la la la la la so la la la la la la la mi re")]
+    rows = [(0, None), (1, "")]
+    for d in range(2, 200):
+        w = items[d % len(items)][1].split()
+        for _ in range(rng.randint(0, 1 + len(w) // 40)):
+            at = rng.choice([0, len(w) - 1, rng.randrange(len(w)), rng.randrange(len(w))])
+            kind = rng.randrange(3)
+            w[at : at + (kind > 0)] = [rng.choice(vocabulary)] * (kind < 2)
+        lead, tail = (rng.choices(vocabulary, k=rng.choice([0, rng.randint(1, 40)])) for _ in "ab")
+        rows.append((d, " ".join([*lead, *w, *tail])))
+    return rows, items
+
+
+def test_edited_items_are_found_as_by_brute_force(spark):
+    rows, items = edited_passages()
+    want = brute_items(rows, items)
+    assert len(want) > 100 and sum(s < 0.9 for s, _ in want.values()) > 20
+    got = decontam.find_items(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 6), r.n_windows) for r in got} == want
+
+
 def test_similarity_is_weighted():
     a, b = Counter({1: 2, 2: 1}), Counter({1: 1, 3: 1})
     assert decontam.similarity(a, b, {1: 2.0, 2: 1.0}, 4.0) == 2 / (4 + 1 + 4)

@@ -1,4 +1,11 @@
-"""Benchmark passages in documents: SimHash of windows, multi-index Hamming search, exact verification."""
+"""Benchmark passages in documents: SimHash of windows, multi-index Hamming search, exact verification.
+
+A window of an item's length whose weighted Jaccard with the item is at least ``least`` lacks
+shingles of at most 1 - ``least`` of the item's weight. So of any shingles of more weight than that
+it has at least one; each item gives fingerprints of such a set, its heaviest, and documents are
+looked at from every word for them. What has one is compared with the item at every place that
+holds it, so nothing of at least ``least`` is missed, however its words were changed.
+"""
 
 from __future__ import annotations
 
@@ -107,18 +114,34 @@ class Searcher:
     it, leaving out its first and last word, so an unchanged passage always meets one of them at
     distance 0 wherever it lies. The radius, which grows with the windows, allows for words that
     differ inside.
+
+    Those few windows may all be changed in a passage that is still similar enough. The first class
+    has windows of one shingle, looked for from every word at distance 0: of each item the heaviest
+    that together weigh more than 1 - ``least`` of it, one of which every such passage has.
     """
 
-    def __init__(self, items: list[Item]):
-        self.items = items
+    def __init__(self, items: list[Item], least: float = 0.8):
+        self.items, self.least = items, least
         seen = Counter(s for item in items for s in item.weights)
         self.rare = math.log(1 + len(items))
         self.weight = {s: math.log(1 + len(items) / n) for s, n in seen.items()}
         self.shingles = [_shingles(item.words) for item in items]
+        self.known = np.array(sorted(self.weight), np.uint64)
+        self.weights = np.array([self.weight[s] for s in self.known.tolist()])
+        self.own = []  # each item's shingles, sorted; how often it has each; its weight
+        for c in self.shingles:
+            own = np.array(sorted(c), np.uint64)
+            count = np.array([c[s] for s in own.tolist()], np.int64)
+            self.own.append((own, count, float(self._weigh(own) @ count)))
         by: dict[int, list[int]] = {}
         for i, item in enumerate(items):
             by.setdefault(self._length(len(item.words)), []).append(i)
         self.classes = []
+        if items:
+            places = [self._needed(i) for i in range(len(items))]
+            owner = np.repeat(np.arange(len(items)), [len(at) for at in places])
+            prints = [simhash(item.words, at, SHINGLE) for item, at in zip(items, places, strict=True)]
+            self.classes.append((SHINGLE, 1, owner, np.concatenate(places), HammingIndex(np.concatenate(prints), 0)))
         for length, members in sorted(by.items()):
             least = min(len(items[i].words) for i in members)
             edge = 1 if least > length + 1 else 0
@@ -130,7 +153,21 @@ class Searcher:
                 owner += [i] * step
                 offset += at.tolist()
             self.classes.append((length, step, np.array(owner), np.array(offset), HammingIndex(np.concatenate(prints), max(3, min(8, length // 6)))))
-        self.longest = max((len(i.words) for i in items), default=0)
+
+    def _weigh(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(shingles), self.rare)
+        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
+        return np.where(self.known[at] == shingles, self.weights[at], self.rare)
+
+    def _needed(self, item: int) -> np.ndarray:
+        """Places of the item's heaviest shingles that weigh more than a similar window can lack."""
+        own, count, every = self.own[item]
+        _, first = np.unique(shingle_hashes(self.items[item].words, SHINGLE), return_index=True)
+        weight = self._weigh(own)
+        order = np.lexsort((first, -weight))
+        enough = np.cumsum((weight * count)[order]) > (1 - self.least + 1e-6) * every
+        return first[order[: int(np.argmax(enough)) + 1 if enough.any() else len(order)]]
 
     @staticmethod
     def _length(n: int) -> int:
@@ -145,27 +182,75 @@ class Searcher:
 
     def find(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """For each item in a document: best similarity, its first word, and how many windows had it."""
-        best: dict[int, list] = {}
-        for start, item in sorted(self.candidates(words)):
-            self._verify(words, start, item, best)
-        return {i: tuple(x) for i, x in best.items()}
-
-    def _verify(self, words: np.ndarray, start: int, item: int, best: dict, least: float = 0.8) -> None:
+        _, start, item = self.candidates(words)
+        return self._best(words, start, item)
+
+    def _best(self, words: np.ndarray, start: np.ndarray, item: np.ndarray) -> dict[int, tuple[float, int, int]]:
+        """Of the items that candidates name, what all windows about them have."""
+        best: dict[int, tuple[float, int, int]] = {}
+        order = np.lexsort((start, item))
+        start, item = start[order], item[order]
+        reach = np.array([len(self.items[i].words) - SHINGLE for i in item.tolist()], np.int64)
+        # windows that hold the same shingle begin within reach; where such ranges meet they are one
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (start[1:] - start[:-1] > 2 * reach[1:])
+        first = np.flatnonzero(new)
+        last = np.append(first, len(item))[1:] - 1
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            i = int(item[a])
+            similar, where, n = self._verify(words, int(start[a] - reach[a]), int(start[b] + reach[b]), i)
+            if n:
+                old = best.get(i, (0.0, 0, 0))
+                best[i] = (*((similar, where) if similar > old[0] else old[:2]), old[2] + n)
+        return best
+
+    def _verify(self, words: np.ndarray, lo: int, hi: int, item: int) -> tuple[float, int, int]:
+        """Best similarity of windows that begin from ``lo`` to ``hi``, its first word, and how many are similar enough.
+
+        Windows are cut to the document. What a shingle of the item adds to a window's common weight
+        starts with the first window that holds it, unless that one has all of the item's already.
+        """
+        own, count, every = self.own[item]
         n = len(self.items[item].words)
-        window = words[max(0, start) : start + n]
-        s = similarity(_shingles(window), self.shingles[item], self.weight, self.rare) if len(window) >= SHINGLE else 0.0
-        if s >= least - 1e-9:
-            now = best.setdefault(item, [0.0, start, 0])
-            if s > now[0]:
-                now[:2] = [s, start]
-            now[2] += 1
-
-    def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """Pairs (first word of the passage, item) whose fingerprints lie within the radius."""
-        found: set[tuple[int, int]] = set()
-        if not self.classes:
-            return found
-        for at in range(0, len(words), _PART):
+        m = n - SHINGLE + 1
+        lo, hi = max(lo, 1 - m), min(hi, len(words) - SHINGLE)
+        if hi < lo:
+            return 0.0, 0, 0
+        begin = max(0, lo)
+        found = shingle_hashes(words[begin : hi + n], SHINGLE)
+        at = np.minimum(np.searchsorted(own, found), len(own) - 1)
+        place = np.flatnonzero(own[at] == found)
+        if not len(place):
+            return 0.0, 0, 0
+        weight = self._weigh(found)
+        kind, place = at[place], place + begin
+        order = np.argsort(kind, kind="stable")
+        kind, place = kind[order], place[order]
+        earlier = np.arange(len(kind)) - count[kind]
+        full = (earlier >= 0) & (kind[earlier] == kind)
+        since = np.where(full, np.maximum(place - m, place[earlier]), place - m) + 1
+        since, until = np.maximum(since, lo), np.minimum(place, hi) + 1
+        some = since < until
+        steps = np.zeros(hi - lo + 2)
+        np.add.at(steps, since[some] - lo, weight[place[some] - begin])
+        np.add.at(steps, until[some] - lo, -weight[place[some] - begin])
+        both = np.cumsum(steps)[:-1]
+        sums = np.concatenate([[0.0], np.cumsum(weight)])
+        starts = np.arange(lo, hi + 1)
+        whole = sums[np.minimum(starts + m - begin, len(weight))] - sums[np.maximum(starts, begin) - begin]
+        similar = both / (every + whole - both)
+        # cut windows at the start of a document begin with its first word
+        enough = int((similar >= self.least - 1e-9).sum())
+        if not enough:
+            return 0.0, 0, 0
+        start = lo + int(np.flatnonzero(similar >= similar.max() - 1e-9)[0])
+        exact = similarity(_shingles(words[max(0, start) : start + n]), self.shingles[item], self.weight, self.rare)
+        return exact, max(0, start), enough
+
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows whose fingerprints lie within the radius: their first words, those of the passages, items."""
+        found = [np.zeros((3, 0), np.int64)]
+        for at in range(0, len(words) if self.classes else 0, _PART):
             part = words[at : at + _PART + 256]
             if len(part) < 2:
                 continue
@@ -174,8 +259,9 @@ class Searcher:
                 starts = np.arange(0, min(_PART, len(part) - length + 1), step)
                 if len(starts):
                     row, hit = index.near(simhash(part, starts, length, sums))
-                    found.update(zip((starts[row] + at - offset[hit]).tolist(), owner[hit].tolist(), strict=True))
-        return found
+                    found.append(np.stack([starts[row] + at, starts[row] + at - offset[hit], owner[hit]]))
+        place, start, item = np.concatenate(found, axis=1)
+        return place, start, item
 
 
 def _items(rows: list) -> list[Item]:
@@ -192,7 +278,9 @@ def find_items(docs: DataFrame, items: DataFrame, least: float = 0.8, lot: int =
     """Passages of ``items`` (item_id, text) in documents (doc_id, text), from their whole texts.
 
     One row for each document and item that it holds with a similarity of at least ``least``: the
-    weighted Jaccard of the item's five-word shingles and those of a window as long as the item;
+    weighted Jaccard of the item's five-word shingles and those of a window as long as the item,
+    or shorter where the document begins or ends in it; the best of all windows is given, and
+    ``n_windows`` counts those of at least ``least``;
     a shingle's weight is the logarithm of how rare it is among the items. Words are runs without
     white space, in lower case. Items go to the tasks in lots of at most ``lot`` (one lot for any
     usual benchmark), so what is sent with a task is bounded; documents aren't shuffled.
@@ -221,29 +309,29 @@ def _lots(items: DataFrame, size: int) -> Iterator[list[dict]]:
         yield part
 
 
-def _hits(searcher: Searcher, batch: pa.RecordBatch, least: float) -> Iterator[tuple[int, dict]]:
+def _hits(searcher: Searcher, batch: pa.RecordBatch) -> Iterator[tuple[int, dict]]:
     """For each document of a batch, in its order: what was found in it."""
     text = pa.compute.utf8_lower(batch.column("text"))
     for lo, hi in text_batches(text):
         words, at = word_hashes(*utf8(text.slice(lo, hi - lo)))
-        found: dict[int, dict] = {}
-        for start, item in sorted(searcher.candidates(words)):
-            # a candidate may begin a word before its document or end behind it: cut to the document
-            n = len(searcher.items[item].words)
-            doc = int(np.searchsorted(at, max(0, start + n // 2), "right")) - 1
-            if doc < hi - lo:
-                begin, end = int(at[doc]), int(at[doc + 1])
-                searcher._verify(words[begin:end], start - begin, item, found.setdefault(doc, {}), least)
-        yield from ((lo + doc, best) for doc, best in sorted(found.items()) if best)
+        place, start, item = searcher.candidates(words)
+        doc = np.searchsorted(at, place, "right") - 1
+        order = np.argsort(doc, kind="stable")
+        start, item = start[order], item[order]
+        docs, first = np.unique(doc[order], return_index=True)
+        for d, a, b in zip(docs.tolist(), first.tolist(), np.append(first, len(doc))[1:].tolist(), strict=True):
+            best = searcher._best(words[at[d] : at[d + 1]], start[a:b] - at[d], item[a:b])
+            if best:
+                yield lo + d, best
 
 
 def _find_lot(docs: DataFrame, rows: list[dict], least: float) -> DataFrame:
     names = [x.split()[0] for x in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(_items(rows))
+        searcher = Searcher(_items(rows), least)
         for batch in batches:
-            out = [(doc, searcher.items[i].item_id, *found) for doc, best in _hits(searcher, batch, least) for i, found in sorted(best.items())]
+            out = [(doc, searcher.items[i].item_id, *found) for doc, best in _hits(searcher, batch) for i, found in sorted(best.items())]
             if out:
                 doc, *rest = zip(*out, strict=True)
                 kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -261,10 +349,10 @@ def drop_found(docs: DataFrame, items: DataFrame, least: float = 0.8, lot: int =
 
 def _drop_lot(docs: DataFrame, rows: list[dict], least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(_items(rows))
+        searcher = Searcher(_items(rows), least)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            keep[[doc for doc, _ in _hits(searcher, batch, least)]] = False
+            keep[[doc for doc, _ in _hits(searcher, batch)]] = False
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
