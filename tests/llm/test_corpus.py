@@ -147,6 +147,24 @@ def test_repeats_equal_brute_force(spark, window):
     assert found == sorted(brute_repeats(rows, window))
 
 
+def test_no_anchor_of_a_common_passage_fills_a_shard(spark, monkeypatch):
+    rng = random.Random(3)
+    own = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(30))
+    line = " ".join(f"w{i}" for i in range(25))
+    rows = [*corpus(7), *((i, f"{own()} {line} {own()}") for i in range(1000, 1200)), (1200, "ha " * 300), (1201, "ha " * 300)]
+    most = {}
+    for hot in (10**9, 50):
+        monkeypatch.setattr(substring, "_HOT_WINDOWS", hot)
+        stage = Stage(spark, "test")
+        substring.repeats(frame(spark, rows), stage).count()
+        # windows of the different segments that one key sends to one shard
+        segments = spark.read.parquet(stage.path("segments")).filter("seg is not null").dropDuplicates(["seg"])
+        most[hot] = segments.groupBy("home").agg(F.sum(F.length("codes") / 4 - 12).alias("n")).agg(F.max("n")).first()[0]
+    assert most[10**9] > 200 and most[50] <= 50
+    got = substring.remove_repeats(frame(spark, rows), Stage(spark, "test"))
+    assert sorted((r.doc_id, r.n_words, r.n_removed, words(r.text)) for r in got.collect()) == sorted(brute_repeats(rows, 13))
+
+
 def test_rows_without_an_id_stay(spark):
     rows = [(None, "x " * 40), (1, "x " * 40), (2, "x " * 40), (None, None)]
     got = substring.remove_repeats(frame(spark, rows), Stage(spark, "test"))

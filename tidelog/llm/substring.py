@@ -6,9 +6,12 @@ have equal anchors, so a shard that owns an anchor sees every occurrence of its
 work grows with the text, not with its square.
 
 1. Segments' anchors are counted, with partial counts, and only those that two documents share
-   are kept, by a join that can split an anchor of very many documents.
+   are kept, by a join that can split an anchor of very many documents. Anchors of more than
+   10,000 windows are marked.
 2. Segments with such anchors are cut out; equal segments are merged before they are shuffled,
-   which leaves of a passage in a third of all documents one row for each task.
+   which leaves of a passage in a third of all documents one row for each task. Segments of marked
+   anchors are cut into their windows, which belong to the shard of their own words: windows that
+   straddle the edge of such a passage are all different but have few anchors.
 3. Each shard builds an FM-index of its distinct segments (a BWT in a wavelet matrix over packed
    bits) and finds, by backward search, the interval of each window and its least doc_id.
 4. What was found goes back to the documents by segment.
@@ -29,9 +32,9 @@ from tidelog.stage import Stage
 
 GRAM, _MOST = 4, 15
 ANCHORS = "doc_id long, anchor long, place long"
-SEGMENTS = "doc_id long, segments array<struct<seg:long,start:int>>, n long, anchor long, seg long, low long, high long, codes binary"
+SEGMENTS = "doc_id long, segments array<struct<seg:long,start:int>>, n long, home long, seg long, low long, high long, codes binary"
 FOUND = "seg long, first array<long>"
-_SHARD_WINDOWS, _FLUSH = 40_000, 200_000
+_SHARD_WINDOWS, _HOT_WINDOWS, _FLUSH = 40_000, 10_000, 200_000
 
 
 # --------------------------------------------------------------------------- FM-index
@@ -180,6 +183,15 @@ def _runs(anchor: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first[ok], n[ok]
 
 
+def _single(doc: np.ndarray, starts: np.ndarray, n: np.ndarray, anchor: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments, those that are ``hot`` as one segment for each of their windows."""
+    parts = np.where(hot, n, 1)
+    of = np.repeat(np.arange(len(n)), parts)
+    starts = starts[of] + np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    hot = hot[of]
+    return doc[of], starts, np.where(hot, 1, n[of]), anchor[of], hot
+
+
 def _keys(words: np.ndarray, starts: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
     """Hash of each segment's words."""
     size = n + window - 1
@@ -208,22 +220,23 @@ def repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame:
                 if len(starts):
                     doc = np.searchsorted(at, starts, "right") - 1
                     keys = batch.column("doc_id").slice(lo, hi - lo).to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(anchor[starts].view(np.int64)), pa.array((starts - at[doc]) * 16 + n)], ["doc_id", "anchor", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(anchor[starts].view(np.int64)), pa.array((starts - at[doc]) * 32 + n)], ["doc_id", "anchor", "place"])
 
     found = stage.save(rows.mapInArrow(anchors, ANCHORS), "anchors")
-    several = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
-    shared = stage.save(found.join(several, "anchor", "left_semi"), "shared-anchors")
+    counts = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.col("place") % 32).alias("n"))
+    several = counts.filter("low < high").select("anchor", F.when(F.col("n") > _HOT_WINDOWS, 16).otherwise(0).alias("hot"))
+    shared = stage.save(found.join(several, "anchor").select("doc_id", "anchor", (F.col("place") + F.col("hot")).alias("place")), "shared-anchors")
     stage.drop("anchors")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SEGMENTS.replace("struct<seg:long,start:int>", "struct").split(", ")]
         kind = pa.struct([("seg", pa.int64()), ("start", pa.int32())])
-        kept: dict[int, list] = {}  # distinct segments of this task: anchor, low, high, codes
+        kept: dict[int, list] = {}  # distinct segments of this task: what deals them, low, high, codes
 
         def flush() -> pa.RecordBatch:
             n = len(kept)
-            anchor, low, high, codes = zip(*kept.values(), strict=True)
-            out = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(kind)), pa.nulls(n, pa.int64()), pa.array(anchor, pa.int64()), pa.array(list(kept), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(codes, pa.binary())]
+            home, low, high, codes = zip(*kept.values(), strict=True)
+            out = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(kind)), pa.nulls(n, pa.int64()), pa.array(home, pa.int64()), pa.array(list(kept), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(codes, pa.binary())]
             kept.clear()
             return pa.RecordBatch.from_arrays(out, names)
 
@@ -239,16 +252,21 @@ def repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame:
                 anchor = flat.field("anchor").to_numpy().view(np.uint64)
                 doc = np.repeat(np.arange(hi - lo), size)
                 own, inside = _anchors(words, at, window)
-                starts, n = at[doc] + place // 16, place % 16
+                starts, n, hot = at[doc] + place // 32, place % 16, place % 32 >= 16
                 # a place of another row with the same doc_id isn't one of this text
                 ok = starts + n + window - 1 <= at[doc + 1]
                 ok[ok] &= own[starts[ok]] == anchor[ok]
-                doc, starts, n, anchor = doc[ok], starts[ok], n[ok], anchor[ok]
+                doc, starts, n, anchor, hot = doc[ok], starts[ok], n[ok], anchor[ok], hot[ok]
                 _, once = np.unique(starts, return_index=True)
-                doc, starts, n, anchor = doc[once], starts[once], n[once], anchor[once]
+                doc, starts, n, anchor, hot = doc[once], starts[once], n[once], anchor[once], hot[once]
                 if not len(starts):
                     continue
+                if hot.any():
+                    doc, starts, n, anchor, hot = _single(doc, starts, n, anchor, hot)
+                    ok = own[starts] == anchor
+                    doc, starts, n, anchor, hot = doc[ok], starts[ok], n[ok], anchor[ok], hot[ok]
                 seg = _keys(words, starts, n, window).view(np.int64)
+                home = np.where(hot, seg, anchor.view(np.int64))
                 keys = part.column("doc_id").to_numpy()
                 key = keys[doc]
                 distinct, first, of = np.unique(seg, return_index=True, return_inverse=True)
@@ -257,7 +275,7 @@ def repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame:
                 np.maximum.at(high, of, key)
                 for g, i, a, b in zip(distinct.tolist(), first.tolist(), low.tolist(), high.tolist(), strict=True):
                     if (old := kept.get(g)) is None:
-                        kept[g] = [int(anchor[i].view(np.int64)), a, b, codes[starts[i] : starts[i] + n[i] + window - 1].tobytes()]
+                        kept[g] = [int(home[i]), a, b, codes[starts[i] : starts[i] + n[i] + window - 1].tobytes()]
                     else:
                         old[1], old[2] = min(old[1], a), max(old[2], b)
                 values = pa.StructArray.from_arrays([pa.array(seg), pa.array((starts - at[doc]).astype(np.int32))], fields=list(kind))
@@ -275,7 +293,7 @@ def repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame:
     stage.drop("shared-anchors")
 
     windows = cut.agg(F.sum("n")).first()[0] or 0
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, windows // _SHARD_WINDOWS))).alias("shard")
+    shard = F.pmod(F.xxhash64("home"), F.lit(max(1, windows // _SHARD_WINDOWS))).alias("shard")
     distinct = cut.filter("seg is not null").select(shard, "seg", "low", "high", "codes")
     first = stage.save(distinct.groupBy("shard").applyInArrow(lambda table: _shard(table, window), FOUND), "first")
     each = cut.filter("segments is not null").select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
