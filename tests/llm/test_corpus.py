@@ -293,6 +293,16 @@ def test_edited_items_are_found_as_by_brute_force(spark):
     assert {(r.doc_id, r.item_id): (round(r.similarity, 6), r.n_windows) for r in got} == want
 
 
+def test_lots_do_not_change_what_is_found(spark):
+    rows, items = edited_passages()
+    tables = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.find_items(*tables, lot=4).collect()
+    want = brute_items(rows, items)
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 6), r.n_windows) for r in got} == want
+    kept = {r.doc_id for r in decontam.drop_found(*tables, lot=1).collect()}
+    assert kept == {i for i, _ in rows} - {d for d, _ in want}
+
+
 def test_similarity_is_weighted():
     a, b = Counter({1: 2, 2: 1}), Counter({1: 1, 3: 1})
     assert decontam.similarity(a, b, {1: 2.0, 2: 1.0}, 4.0) == 2 / (4 + 1 + 4)

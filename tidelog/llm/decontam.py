@@ -17,7 +17,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidelog.llm.common import shingle_hashes, text_batches, utf8, word_hashes
 
@@ -92,7 +94,26 @@ class HammingIndex:
 class Item:
     item_id: int
     words: np.ndarray
-    weights: dict[int, float]
+
+
+@dataclass
+class Weights:
+    """Weights of shingles by how many of all items have them: of those that several have; others weigh ``rare``."""
+
+    rare: float
+    known: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, n_items: int, shingles: np.ndarray, counts: np.ndarray) -> Weights:
+        order = np.argsort(shingles)
+        return cls(math.log(1 + n_items), shingles[order], np.log(1 + n_items / counts[order]))
+
+    def weigh(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(shingles), self.rare)
+        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
+        return np.where(self.known[at] == shingles, self.weights[at], self.rare)
 
 
 def _shingles(words: np.ndarray) -> Counter:
@@ -120,19 +141,18 @@ class Searcher:
     that together weigh more than 1 - ``least`` of it, one of which every such passage has.
     """
 
-    def __init__(self, items: list[Item], least: float = 0.8):
+    def __init__(self, items: list[Item], least: float = 0.8, weights: Weights | None = None):
         self.items, self.least = items, least
-        seen = Counter(s for item in items for s in item.weights)
-        self.rare = math.log(1 + len(items))
-        self.weight = {s: math.log(1 + len(items) / n) for s, n in seen.items()}
         self.shingles = [_shingles(item.words) for item in items]
-        self.known = np.array(sorted(self.weight), np.uint64)
-        self.weights = np.array([self.weight[s] for s in self.known.tolist()])
+        if weights is None:  # these are all items
+            seen = Counter(s for c in self.shingles for s in c)
+            weights = Weights.of(len(items), np.array(list(seen), np.uint64), np.array(list(seen.values()), np.int64))
+        self.weights = weights
         self.own = []  # each item's shingles, sorted; how often it has each; its weight
         for c in self.shingles:
             own = np.array(sorted(c), np.uint64)
             count = np.array([c[s] for s in own.tolist()], np.int64)
-            self.own.append((own, count, float(self._weigh(own) @ count)))
+            self.own.append((own, count, float(weights.weigh(own) @ count)))
         by: dict[int, list[int]] = {}
         for i, item in enumerate(items):
             by.setdefault(self._length(len(item.words)), []).append(i)
@@ -154,17 +174,11 @@ class Searcher:
                 offset += at.tolist()
             self.classes.append((length, step, np.array(owner), np.array(offset), HammingIndex(np.concatenate(prints), max(3, min(8, length // 6)))))
 
-    def _weigh(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(shingles), self.rare)
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weights[at], self.rare)
-
     def _needed(self, item: int) -> np.ndarray:
         """Places of the item's heaviest shingles that weigh more than a similar window can lack."""
         own, count, every = self.own[item]
         _, first = np.unique(shingle_hashes(self.items[item].words, SHINGLE), return_index=True)
-        weight = self._weigh(own)
+        weight = self.weights.weigh(own)
         order = np.lexsort((first, -weight))
         enough = np.cumsum((weight * count)[order]) > (1 - self.least + 1e-6) * every
         return first[order[: int(np.argmax(enough)) + 1 if enough.any() else len(order)]]
@@ -222,7 +236,7 @@ class Searcher:
         place = np.flatnonzero(own[at] == found)
         if not len(place):
             return 0.0, 0, 0
-        weight = self._weigh(found)
+        weight = self.weights.weigh(found)
         kind, place = at[place], place + begin
         order = np.argsort(kind, kind="stable")
         kind, place = kind[order], place[order]
@@ -244,7 +258,9 @@ class Searcher:
         if not enough:
             return 0.0, 0, 0
         start = lo + int(np.flatnonzero(similar >= similar.max() - 1e-9)[0])
-        exact = similarity(_shingles(words[max(0, start) : start + n]), self.shingles[item], self.weight, self.rare)
+        window = _shingles(words[max(0, start) : start + n])
+        every = np.array(list(window.keys() | self.shingles[item].keys()), np.uint64)
+        exact = similarity(window, self.shingles[item], dict(zip(every.tolist(), self.weights.weigh(every).tolist(), strict=True)), self.weights.rare)
         return exact, max(0, start), enough
 
     def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,7 +286,7 @@ def _items(rows: list) -> list[Item]:
     words, at = word_hashes(*utf8(column))
     for r, a, b in zip(rows, at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= SHINGLE:
-            out.append(Item(r["item_id"], words[a:b].copy(), dict.fromkeys(_shingles(words[a:b]), 1.0)))
+            out.append(Item(r["item_id"], words[a:b].copy()))
     return out
 
 
@@ -283,21 +299,43 @@ def find_items(docs: DataFrame, items: DataFrame, least: float = 0.8, lot: int =
     ``n_windows`` counts those of at least ``least``;
     a shingle's weight is the logarithm of how rare it is among the items. Words are runs without
     white space, in lower case. Items go to the tasks in lots of at most ``lot`` (one lot for any
-    usual benchmark), so what is sent with a task is bounded; documents aren't shuffled.
+    usual benchmark), each of which reads the documents; weights are of all items, so lots don't
+    change what is found. Documents aren't shuffled.
 
     Items of fewer than five words have no shingle and are found nowhere; null texts are empty.
     Repeated documents give repeated rows, a null doc_id stays null.
     """
-    lots = [_find_lot(docs, rows, least) for rows in _lots(items, lot)]
+    rows = _distinct(items)
+    weights = docs.sparkSession.sparkContext.broadcast(_weights(rows))
+    lots = [_find_lot(docs, part, least, weights) for part in _lots(rows, lot)]
     out = lots[0]
     for more in lots[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _lots(items: DataFrame, size: int) -> Iterator[list[dict]]:
+def _distinct(items: DataFrame) -> DataFrame:
+    return items.select("item_id", "text").filter("text is not null").dropDuplicates(["item_id", "text"])
+
+
+def _weights(rows: DataFrame) -> Weights:
+    """Of all items together; only shingles that several items have come to the driver."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item in _items(batch.to_pylist()):
+                own = np.unique(shingle_hashes(item.words, SHINGLE)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([None, *own.tolist()], pa.int64())], ["shingle"])  # null counts the items
+
+    seen = rows.mapInArrow(shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1 or shingle is null").toArrow()
+    counts = dict(zip(seen.column("shingle").to_pylist(), seen.column("n").to_pylist(), strict=True))
+    n_items = counts.pop(None, 0)
+    return Weights.of(n_items, np.array(list(counts), np.int64).view(np.uint64), np.array(list(counts.values()), np.int64))
+
+
+def _lots(rows: DataFrame, size: int) -> Iterator[list[dict]]:
     """The items in lots, fetched one partition at a time; one empty lot if there are none."""
-    rows = items.select("item_id", "text").filter("text is not null").dropDuplicates(["item_id", "text"]).orderBy("item_id", "text")
+    rows = rows.orderBy("item_id", "text")
     part: list[dict] = []
     some = False
     for r in rows.toLocalIterator():
@@ -325,11 +363,11 @@ def _hits(searcher: Searcher, batch: pa.RecordBatch) -> Iterator[tuple[int, dict
                 yield lo + d, best
 
 
-def _find_lot(docs: DataFrame, rows: list[dict], least: float) -> DataFrame:
+def _find_lot(docs: DataFrame, rows: list[dict], least: float, weights: Broadcast[Weights]) -> DataFrame:
     names = [x.split()[0] for x in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(_items(rows), least)
+        searcher = Searcher(_items(rows), least, weights.value)
         for batch in batches:
             out = [(doc, searcher.items[i].item_id, *found) for doc, best in _hits(searcher, batch) for i, found in sorted(best.items())]
             if out:
@@ -342,14 +380,16 @@ def _find_lot(docs: DataFrame, rows: list[dict], least: float) -> DataFrame:
 
 def drop_found(docs: DataFrame, items: DataFrame, least: float = 0.8, lot: int = 4096) -> DataFrame:
     """``docs``, all columns, without the documents in which :func:`find_items` finds an item; nothing is shuffled."""
-    for rows in _lots(items, lot):
-        docs = _drop_lot(docs, rows, least)
+    rows = _distinct(items)
+    weights = docs.sparkSession.sparkContext.broadcast(_weights(rows))
+    for part in _lots(rows, lot):
+        docs = _drop_lot(docs, part, least, weights)
     return docs
 
 
-def _drop_lot(docs: DataFrame, rows: list[dict], least: float) -> DataFrame:
+def _drop_lot(docs: DataFrame, rows: list[dict], least: float, weights: Broadcast[Weights]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(_items(rows), least)
+        searcher = Searcher(_items(rows), least, weights.value)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             keep[[doc for doc, _ in _hits(searcher, batch)]] = False
