@@ -55,6 +55,17 @@ def test_a_message_that_keeps_failing_is_dead_lettered_and_skipped(spark, tmp_pa
     assert ended == ["eof"]
 
 
+def test_draining_does_not_end_while_rows_are_held(spark, tmp_path):
+    ended = []
+    runner = Runner(spark, str(tmp_path), failing_at(1, 3), DeadLetters("dead", max_retries=9), hooks=Hooks(eofed=lambda: ended.append("eof")))
+    runner.batch(rows(spark, 0, range(3)), 1)
+    with pytest.raises(RuntimeError, match="still held"):
+        runner.drain(most=2)
+    assert ended == []
+    runner.drain()
+    assert sorted(r.offset for r in runner.processed().collect()) == [0, 1, 2] and ended == ["eof"]
+
+
 def test_a_batch_that_comes_again_counts_once(spark, tmp_path):
     runner = Runner(spark, str(tmp_path), failing_at(-1, 0))
     runner.batch(rows(spark, 0, range(5)), 1)

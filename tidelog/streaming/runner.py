@@ -146,7 +146,10 @@ class Runner:
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
     def drain(self, most: int = 100) -> int:
-        """Deliver held rows until none is left, as if their pauses were over; the rounds that took."""
+        """Deliver held rows until none is left, as if their pauses were over; the rounds that took.
+
+        Raises if rows are still held after ``most`` rounds.
+        """
         clock, rounds, late = self.clock, 0, 0
         while rounds < most and self.held().take(1):
             late += 2 * self.pause.max_timeout * 1000
@@ -154,6 +157,8 @@ class Runner:
             self.batch(None, self.round + 1)
             rounds += 1
         self.clock = clock
+        if rounds >= most and self.held().take(1):
+            raise RuntimeError(f"rows are still held after {rounds} rounds")
         self.hooks.eofed()
         return rounds
 
