@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 
 import numpy as np
@@ -12,7 +15,8 @@ from pyspark.sql import DataFrame
 
 TEXTS = "page_id long, url string, text string, n_chars long, n_blocks int, n_kept int"
 
-_TAG = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_MARK = re.compile(r"[>\"']")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "noembed", "xmp"}
 _BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -74,28 +78,69 @@ def train() -> Tree:
     return Tree(rows[:, :-1], rows[:, -1])
 
 
+class _Ends:
+    """Where tags end: at the next ``>`` outside quotes, or, where a quote is never closed, at the next ``>`` of all.
+
+    All ends come from one pass over the page's signs from behind, so a tag without an end costs
+    what any other costs.
+    """
+
+    def __init__(self, html: str):
+        self.at = [m.start() for m in _MARK.finditer(html)]
+        n = len(self.at)
+        self.outside, self.any = [-1] * (n + 1), [-1] * (n + 1)
+        quotes = {"\"": -1, "'": -1}
+        for i in range(n - 1, -1, -1):
+            sign = html[self.at[i]]
+            if sign == ">":
+                self.outside[i] = self.any[i] = self.at[i]
+            else:
+                self.any[i] = self.any[i + 1]
+                if quotes[sign] >= 0:
+                    self.outside[i] = self.outside[quotes[sign] + 1]
+                quotes[sign] = i
+
+    def after(self, place: int, quoted: bool = True) -> int:
+        """The sign that ends a tag whose attributes begin at ``place``, or -1."""
+        i = bisect_left(self.at, place)
+        return self.outside[i] if quoted and self.outside[i] >= 0 else self.any[i]
+
+
+@cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(f"</{name}(?![a-z0-9])", re.I)
+
+
 def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
-    """Text blocks in page order: text, words, link density, inside boilerplate, inside an article."""
+    """Text blocks in page order: text, words, link density, inside boilerplate, inside an article.
+
+    One pass; the work grows with the length of the page, whatever its markup. A link ends with
+    its end tag, with the next link, or with the container in which it began.
+    """
     out: list[tuple[str, int, float, int, int]] = []
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
-    boiler = article = links = at = 0
+    named: Counter = Counter()  # how many of each name are in the stack
+    ends = _Ends(html)
+    boiler = article = at = 0
+    link = -1  # depth of the stack where the open link began
     n = len(html)
 
     def close() -> None:
-        text = " ".join(unescape("".join(parts)).split()) if parts else ""
+        text = " ".join("".join(parts).split()) if parts else ""
         if text:
             words = text.count(" ") + 1
-            inside = len(unescape(" ".join(linked)).split()) if linked else 0
+            inside = len(" ".join(linked).split()) if linked else 0
             out.append((text, words, min(1.0, inside / words), int(boiler > 0), int(article > 0)))
         parts.clear()
         linked.clear()
 
     def say(text: str) -> None:
         if text:
+            text = unescape(text)
             parts.append(text)
-            if links:
+            if link >= 0:
                 linked.append(text)
 
     while at < n:
@@ -104,26 +149,28 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
             say(html[at:])
             break
         m = _TAG.match(html, start)
-        if m is None:  # a lone sign
+        if m is None and html.startswith("<!--", start):
+            say(html[at:start])
+            at = n if (end := html.find("-->", start + 2)) < 0 else end + 3
+            continue
+        declaration = m is None and html.startswith(("<!", "<?"), start)
+        stop = -1 if m is None and not declaration else ends.after(start + 2 if declaration else m.end(), not declaration)
+        if stop < 0:  # a lone sign
             say(html[at : start + 1])
             at = start + 1
             continue
         say(html[at:start])
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
-            if m[0] == "<!--":
-                at = n if (end := html.find("-->", start + 2)) < 0 else end + 3
+        at = stop + 1
+        if declaration:
             continue
-        name, ending = name.lower(), (m[1] or m[4]) == "/"
-        attributes = m[3] or m[6] or ""
+        name, ending, attributes = m[2].lower(), bool(m[1]), html[m.end() : stop]
         if name in _RAW and not ending:
             if not attributes.endswith("/"):
-                end = re.compile(f"</{name}[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+                end = _closing(name).search(html, at)
+                at = n if end is None or (stop := html.find(">", end.end())) < 0 else stop + 1
             continue
         if name == "a":
-            links = 0 if ending else 1
+            link = -1 if ending else len(stack)
         elif name == "br":
             parts.append(" ")
         if name in _BLOCKS:
@@ -137,15 +184,19 @@ def blocks(html: str) -> list[tuple[str, int, float, int, int]]:
                     bad = bool(said) and not _HINTS.isdisjoint(re.split(r"[^a-z]+", said))
                 if not attributes.endswith("/"):
                     stack.append((name, bad, name in _MAIN))
+                    named[name] += 1
                     boiler += bad
                     article += name in _MAIN
-            elif any(x[0] == name for x in stack):
+            elif named[name]:
                 while True:
                     other, bad, main = stack.pop()
+                    named[other] -= 1
                     boiler -= bad
                     article -= main
                     if other == name:
                         break
+                if link > len(stack):
+                    link = -1
     close()
     return out
 
