@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,28 +17,47 @@ from tidelog.llm.tokens import encoder, id_bytes
 MARKS = ("### ", ": ", "</turn>\n")
 TURNS = "conv_id long, turn long, role_order string, ids binary, n_tokens long, mask_from long, mask_to long"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-_CONTROL = re.compile(r"(\\|###|</turn>)")
-_ROLE = re.compile(r"(\\|###|</turn>|:)")
-_ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
+_TEMPLATE = ("###", "</turn>")
 
 
-def escape(text: str, role: bool = False) -> str:
-    """Put a backslash before each control string and each backslash; :func:`unescape` takes them away."""
-    return (_ROLE if role else _CONTROL).sub(r"\\\1", text)
+class Escapes:
+    """Escapes of control strings: those of the template and every added token of the vocabulary.
+
+    A backslash goes behind the first character of each place where a control string begins, so
+    none is left in the escaped text, and every backslash of the content is doubled. In roles a
+    colon gets a backslash before it. Control strings are at least two characters and hold no
+    backslash; a vocabulary with others is refused.
+    """
+
+    def __init__(self, tokens: Iterable[str] = ()):
+        controls = sorted({*_TEMPLATE, *tokens})
+        if bad := [c for c in controls if len(c) < 2 or "\\" in c]:
+            raise ValueError(f"control strings that can't be escaped: {bad}")
+        split = "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in controls)
+        self.text, self.role = re.compile(rf"\\|{split}"), re.compile(rf"\\|:|{split}")
+
+    @classmethod
+    def of(cls, tokenizer: str) -> Escapes:
+        return cls(t.content for t in encoder(tokenizer).tokenizer.get_added_tokens_decoder().values())
+
+    def escape(self, text: str, role: bool = False) -> str:
+        return self.role.sub(lambda m: "\\:" if m[0] == ":" else m[0] + "\\", text) if role else self.text.sub(lambda m: m[0] + "\\", text)
 
 
-def unescape(text: str, role: bool = False) -> str:
-    return (_ESCAPED if role else _UNESCAPE).sub(r"\1", text)
+_BACKSLASH = re.compile(r"\\(\\?)")
 
 
-_UNESCAPE = re.compile(r"\\(\\|###|</turn>)")
+def unescape(text: str) -> str:
+    """Of two backslashes one stays, and a single one goes."""
+    return _BACKSLASH.sub(r"\1", text)
 
 
 def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
     """One row a turn with its ids (little-endian 32-bit) and its place in its conversation.
 
     A turn is: reserved id, role, reserved id, text, reserved id. Role and text are escaped and
-    encoded each by itself, so no content can make or change a reserved id. ``start`` is the
+    encoded each by itself, so no content can make or change a reserved id, nor an id of the
+    vocabulary's own special tokens (see :class:`Escapes`). ``start`` is the
     number of the conversation's tokens before the turn, by a prefix sum over its turns, and
     ``loss_from`` to ``loss_to`` is what the loss covers: the text of a turn whose role is
     ``assistant``, no mark. Turns are encoded where they are read; only then are conversations
@@ -47,7 +66,7 @@ def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc, escape = encoder(tokenizer), Escapes.of(tokenizer).escape
         mark = [np.array([enc.size + i], "<u4") for i in range(len(MARKS))]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -106,7 +125,7 @@ def digests(formatted: DataFrame, tokenizer: str) -> DataFrame:
                 first, second, third = np.flatnonzero(ids >= size).tolist()
                 role, body = text(ids[first + 1 : second]), text(ids[second + 1 : third])
                 now[1] += 1
-                now[2].update(f"{unescape(role, True)}\n{unescape(body)}\n".encode())
+                now[2].update(f"{unescape(role)}\n{unescape(body)}\n".encode())
                 loss = unescape(text(ids[lo - start : hi - start]))
                 now[3] += len(loss)
                 now[4].update(loss.encode())
