@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,9 +18,9 @@ from tidelog.stage import Stage
 
 MANIFEST = "path string, records long, bytes long"
 RECORDS = "path string, start long, stop long, kind string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, note string"
-_READ, _ROLL, _LEVEL = 1 << 20, 256 << 20, 3
+_READ, _ROLL, _LEVEL, _HEAD, _LOOK = 1 << 20, 256 << 20, 3, 1 << 16, 1 << 16
 _ID = "urn:tidelog:page:"
-_GZIP, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
+_GZIP, _VERSION, _LINE = b"\x1f\x8b\x08", b"WARC/1.", re.compile(rb"WARC/1\.\d{1,3}\r\n")
 
 
 def digest(data: bytes) -> str:
@@ -85,10 +86,13 @@ def write_archives(pages: DataFrame, stage: Stage, min_revisit_bytes: int = 0, c
 
 
 class _Bytes:
-    """A file read forward in blocks; holds what lies between ``at`` and what was last asked for."""
+    """A file read forward in blocks; holds what lies between ``at`` and what was last asked for.
 
-    def __init__(self, file):
-        self.file, self.at, self.data, self.ended = file, 0, bytearray(), False
+    ``size`` is the file's length if it is known.
+    """
+
+    def __init__(self, file, size: int | None = None):
+        self.file, self.size, self.at, self.data, self.ended = file, size, 0, bytearray(), False
 
     def more(self) -> bool:
         block = b"" if self.ended else self.file.read(_READ)
@@ -97,21 +101,49 @@ class _Bytes:
         return bool(block)
 
     def need(self, n: int) -> bool:
+        """Whether the file has n more bytes; if it has, they are held."""
+        if self.size is not None and n > self.size - self.at:
+            return False
         while len(self.data) < n and self.more():
             pass
         return len(self.data) >= n
 
-    def find(self, what: bytes, start: int) -> int:
-        while (i := self.data.find(what, start)) < 0:
-            start = max(start, len(self.data) - len(what) + 1)
-            if not self.more():
+    def find(self, start: int, most: int, *marks: bytes) -> int:
+        """Where the first of the marks begins from ``start`` on and within about ``most`` bytes, or -1.
+
+        They are looked for together in one short window that slides over what is held, so one
+        that never occurs isn't looked for to the end.
+        """
+        longest, look = max(map(len, marks)), 1 << 9
+        while start <= most:
+            if len(self.data) < start + longest and not self.more() and len(self.data) <= start:
+                return -1
+            to = min(len(self.data), start + look + longest - 1)
+            found = [i for m in marks if (i := self.data.find(m, start, to)) >= 0]
+            if found:
+                return min(found)
+            if to == len(self.data) and not self.more():
                 return -1
-        return i
+            start, look = max(start, to - longest + 1), min(2 * look, _LOOK)
+        return -1
 
     def skip(self, n: int) -> None:
         del self.data[:n]
         self.at += n
 
+    def skip_to(self, *marks: bytes) -> None:
+        """Go on to the first of the marks behind this place, or to the end.
+
+        What was passed isn't held.
+        """
+        self.skip(1)
+        while self.data or self.more():
+            if (i := self.find(0, _LOOK, *marks)) >= 0:
+                return self.skip(i)
+            if self.ended:
+                return self.skip(len(self.data))
+            self.skip(max(1, min(_LOOK, len(self.data) - max(map(len, marks)) + 1)))
+
 
 def _headers(text: bytes) -> dict[str, str]:
     out = {}
@@ -158,38 +190,43 @@ def _number(name: str | None) -> int | None:
 
 def _member(source: _Bytes) -> tuple[bytes, int]:
     """The gzip member at the start: its content and its compressed length."""
-    inflate, out, fed = zlib.decompressobj(31), [], 0
+    inflate, out, fed, step = zlib.decompressobj(31), [], 0, 1 << 14
     while not inflate.eof:
         if fed >= len(source.data) and not source.more():
             raise ValueError("member is cut short")
-        part = bytes(source.data[fed : fed + _READ])
+        part = bytes(source.data[fed : fed + step])
         try:
             out.append(inflate.decompress(part))
         except zlib.error as e:
             raise ValueError(f"member is damaged: {e}") from None
-        fed += len(part)
+        fed, step = fed + len(part), min(2 * step, _READ)
     return b"".join(out), fed - len(inflate.unused_data)
 
 
 def _plain(source: _Bytes) -> tuple[dict, int]:
-    """The uncompressed record at the start, reading on until it is whole."""
-    if (end := source.find(b"\r\n\r\n", 0)) >= 0:
+    """The uncompressed record at the start, reading on until it is whole; its header has at most some 64 KB."""
+    if not source.need(12) or not _LINE.match(source.data):
+        raise ValueError("no version line")
+    end = source.find(0, _HEAD, b"\r\n\r\n", b"\r\n" + _VERSION)  # a record that begins within the header ends it
+    if end >= 0 and source.data.startswith(b"\r\n\r\n", end):
         length = _headers(bytes(source.data[:end])).get("content-length", "")
-        following = source.data.find(b"\r\n" + _VERSION, 1, end)
-        if length.isdigit() and following < 0:
-            source.need(end + 8 + int(length))
+        if length.isdigit():
+            if not source.need(end + 8 + int(length)):
+                raise ValueError("record is cut short")
             return _parse(bytes(source.data[: end + 8 + int(length)]))
     raise ValueError("no readable header")
 
 
-def salvage(file) -> Iterator[dict]:
+def salvage(file, size: int | None = None) -> Iterator[dict]:
     """Records of an archive, compressed by record or not, and the gaps that could not be read.
 
     A record that fails a check (gzip, version line, length, block or payload digest) is
     quarantined from its start to the next place where a record passes all checks; each gap is
-    given as a row with the reason.
+    given as a row with the reason. Memory is that of the largest record: between records the file
+    passes through a window, and with the file's ``size`` a damaged length that leads beyond the
+    end isn't followed.
     """
-    source, bad, why = _Bytes(file), None, ""
+    source, bad, why = _Bytes(file, size), None, ""
     while source.need(1):
         try:
             if source.need(3) and source.data.startswith(_GZIP):
@@ -202,8 +239,7 @@ def salvage(file) -> Iterator[dict]:
         except ValueError as e:
             if bad is None:
                 bad, why = source.at, str(e)
-            marks = [i for i in (source.find(_GZIP, 1), source.find(_VERSION, 1)) if i > 0]
-            source.skip(min(marks) if marks else len(source.data))
+            source.skip_to(_GZIP, _VERSION)
             continue
         if bad is not None:
             yield {"start": bad, "stop": source.at, "kind": "gap", "note": why}
@@ -222,9 +258,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 store, local = open_fs(path)
-                with store.open_input_stream(local) as file:
+                with store.open_input_file(local) as file:
                     rows = []
-                    for row in salvage(file):
+                    for row in salvage(file, file.size()):
                         rows.append({name: row.get(name) for name in schema.names} | {"path": path})
                         if len(rows) == 2000:
                             yield pa.RecordBatch.from_pylist(rows, schema)
