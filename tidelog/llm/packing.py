@@ -70,14 +70,22 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return window, offset, used
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, block: int = 1 << 17) -> DataFrame:
+def powers(n: int) -> list[int]:
+    """The powers of two that add up to n, the largest first."""
+    return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
+
+
+def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, block: int = 1 << 22) -> DataFrame:
     """Pieces of all documents, laid into sequences of at most ``size`` tokens.
 
     A document's tokens are its ids and ``end_id``. Documents of ``size`` tokens or more are first
     cut into full windows; the rest of each is packed best fit decreasing. Every task packs what it
-    has read in blocks of ``block`` rests, so nothing is shuffled, memory is bounded, and a task
-    that is run again makes the same sequences; only the last sequences of a block may have room
-    left. Sequence ids are the task's number times 2**36 plus a count.
+    has read in blocks of about ``block`` tokens of rests, so nothing is shuffled, memory is
+    bounded, and a task that is run again makes the same sequences. Of a block's windows those
+    with more than a sixteenth left free, as its last ones, are dissolved: their pieces are laid
+    behind one another, cut at the ends of full windows, and what remains goes into sequences
+    whose lengths are powers of two, which need no padding. So how full sequences are doesn't
+    depend on how much a task reads. Sequence ids are the task's number times 2**36 plus a count.
 
     Null and empty texts are one piece, the end id. Repeated rows are packed as often as they
     occur, a null doc_id stays null, an empty table gives no rows, and other columns aren't read.
@@ -86,21 +94,41 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, blo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4")
         base, used = TaskContext.get().partitionId() << _SHIFT, 0
-        rest: list[tuple] = []
+        rest: list[tuple] = []  # key, start, ids, tokens of the document
+        kept = 0
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             names = [x.split()[0] for x in PIECES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
+        def piece(key: int | None, start: int, ids: np.ndarray, tokens: int, sequence: int, offset: int, total: int) -> tuple:
+            return key, start, len(ids), zlib.crc32(ids.tobytes()), tokens, base + sequence, offset, total
+
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal used
-            if rest:
-                lengths = np.array([r[2] for r in rest])
-                window, offset, n = best_fit_decreasing(lengths, size)
-                total = np.bincount(window, lengths, n).astype(np.int64)
-                yield out([(*r, base + used + w, o, total[w]) for r, w, o in zip(rest, window.tolist(), offset.tolist(), strict=True)])
-                used += n
-                rest.clear()
+            nonlocal used, kept
+            if not rest:
+                return
+            lengths = np.array([len(r[2]) for r in rest])
+            window, offset, n = best_fit_decreasing(lengths, size)
+            total = np.bincount(window, lengths, n).astype(np.int64)
+            tight = total >= size - size // 16
+            number = used + np.cumsum(tight) - 1
+            used += int(tight.sum())
+            rows = [piece(*r, number[w], o, total[w]) for r, w, o in zip(rest, window.tolist(), offset.tolist(), strict=True) if tight[w]]
+            loose = [r for r, w in zip(rest, window.tolist(), strict=True) if not tight[w]]
+            left = int(total[~tight].sum())
+            sequences = iter([size] * (left // size) + powers(left % size))
+            most = at = 0
+            for key, start, ids, tokens in loose:
+                while len(ids):
+                    if at == most:
+                        most, at, used = next(sequences), 0, used + 1
+                    part = ids[: most - at]
+                    rows.append(piece(key, start, part, tokens, used - 1, at, most))
+                    start, at, ids = start + len(part), at + len(part), ids[len(part) :]
+            rest.clear()
+            kept = 0
+            yield out(rows)
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
@@ -109,17 +137,16 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, blo
                 texts = batch.column("text").slice(at, 256).to_pylist()
                 for key, ids in zip(keys[at : at + 256], enc.encode(texts), strict=True):
                     ids = np.concatenate([ids, end])
-                    for start in range(0, len(ids), size):
-                        part = ids[start : start + size]
-                        row = (key, start, len(part), zlib.crc32(part.tobytes()), len(ids))
-                        if len(part) == size:
-                            full.append((*row, base + used, 0, size))
-                            used += 1
-                        else:
-                            rest.append(row)
+                    whole = len(ids) // size * size
+                    for start in range(0, whole, size):
+                        full.append(piece(key, start, ids[start : start + size], len(ids), used, 0, size))
+                        used += 1
+                    if whole < len(ids):
+                        rest.append((key, whole, ids[whole:].copy(), len(ids)))
+                        kept += len(ids) - whole
                 if full:
                     yield out(full)
-                if len(rest) >= block:
+                if kept >= block:
                     yield from close()
         yield from close()
 
