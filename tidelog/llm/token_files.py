@@ -22,7 +22,7 @@ from tidelog.llm.tokens import encoder
 from tidelog.stage import Stage
 
 MAGIC, BLOCK, TRAILER = b"TLBITS01", 4096, struct.Struct("<QQQQI8s")
-MANIFEST = "part int, path string, docs long, tokens long"
+MANIFEST = "part int, no int, path string, docs long, tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _NULL = np.iinfo(np.int64).min
 
@@ -115,41 +115,52 @@ class BitReader:
         return self.ids(int(self.starts[i]), int(end - self.starts[i]))
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, stage: Stage, end_id: int = 0) -> DataFrame:
-    """Encode documents and write them in ascending doc_id order, a file for each range of doc_ids.
+def write_token_files(docs: DataFrame, tokenizer: str, stage: Stage, end_id: int = 0, roll: int = 1 << 26, roll_docs: int = 1 << 20) -> DataFrame:
+    """Encode documents and write them in ascending doc_id order, files for each range of doc_ids.
 
-    Returns the manifest (part, path, docs, tokens), written as a table: one row a file, in
-    ascending order of ``part``. Null texts count as empty; a document always has its ``end_id``.
-    A null doc_id comes first; rows of equal doc_id are all kept, in the order of their texts.
+    A file ends with the document that brings it to ``roll`` tokens or ``roll_docs`` documents, so
+    neither files nor their tables grow with the data. Returns the manifest (part, no, path, docs,
+    tokens), written as a table: one row a file, in ascending order of ``part`` and ``no``. Null
+    texts count as empty; a document always has its ``end_id``. A null doc_id comes first; rows of
+    equal doc_id are all kept, in the order of their texts.
     """
     folder = stage.path("tokens")
+    schema = pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[x.split()[1]]) for x in MANIFEST.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end, writer = encoder(tokenizer), np.array([end_id], "<u4"), None
+        enc, end = encoder(tokenizer), np.array([end_id], "<u4")
         bits = bits_for(max(enc.tokenizer.get_vocab_size(), end_id + 1))
-        batches = (b for b in batches if b.num_rows)
-        if (first := next(batches, None)) is None:
-            return
-        with new_file(folder, "ids") as (stream, path):
-            writer = BitWriter(stream, bits)
-            while first is not None:
-                keys = first.column("doc_id").to_pylist()
+
+        def coded() -> Iterator[tuple[int | None, np.ndarray]]:
+            for batch in batches:
+                keys = batch.column("doc_id").to_pylist()
                 for at in range(0, len(keys), 256):
-                    for key, ids in zip(keys[at : at + 256], enc.encode(first.column("text").slice(at, 256).to_pylist()), strict=True):
-                        writer.add(key, np.concatenate([ids, end]))
-                first = next(batches, None)
-            writer.close()
-        yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "path": path, "docs": len(writer.keys), "tokens": writer.tokens}], pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+                    yield from zip(keys[at : at + 256], enc.encode(batch.column("text").slice(at, 256).to_pylist()), strict=True)
+
+        rows, no = coded(), 0
+        row = next(rows, None)
+        while row is not None:
+            with new_file(folder, f"ids-{no}") as (stream, path):
+                writer = BitWriter(stream, bits)
+                while row is not None and writer.tokens < roll and len(writer.keys) < roll_docs:
+                    writer.add(row[0], np.concatenate([row[1], end]))
+                    row = next(rows, None)
+                writer.close()
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "no": no, "path": path, "docs": len(writer.keys), "tokens": writer.tokens}], schema)
+            no += 1
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return stage.save(ordered.mapInArrow(run, MANIFEST), "manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Documents of the files: doc_id, start (tokens of all documents before it), n_tokens, crc32 of its ids."""
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    """Documents of the files: doc_id, start (tokens of all documents before it), n_tokens, crc32 of its ids.
+
+    Only the manifest, a row for each file of some 64 million tokens, is summed up in one task.
+    """
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part", "no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.withColumn("before", before).select("path", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
