@@ -4,7 +4,8 @@ A window of an item's length whose weighted Jaccard with the item is at least ``
 shingles of at most 1 - ``least`` of the item's weight. So of any shingles of more weight than that
 it has at least one; each item gives fingerprints of such a set, its heaviest, and documents are
 looked at from every word for them. What has one is compared with the item at every place that
-holds it, so nothing of at least ``least`` is missed, however its words were changed.
+holds it, so nothing of at least ``least`` is missed, however its words were changed. An item of
+fewer than five words is one shingle, its whole word sequence, and is looked for as such.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import shingle_hashes, text_batches, utf8, word_hashes
+from tidelog.llm.common import mix, shingle_hashes, text_batches, utf8, word_hashes
+from tidelog.llm.files import new_file, open_fs
+from tidelog.stage import Stage
 
 FOUND = "doc_id long, item_id long, similarity double, first_word long, n_windows long"
 SHINGLE = 5
@@ -116,8 +119,19 @@ class Weights:
         return np.where(self.known[at] == shingles, self.weights[at], self.rare)
 
 
+def _hashes(words: np.ndarray) -> np.ndarray:
+    """Five-word shingles; of fewer words the whole sequence as one."""
+    n = len(words)
+    return shingle_hashes(words, SHINGLE) if n >= SHINGLE else _short(words, n)
+
+
+def _short(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of each n words, n below five."""
+    return mix(shingle_hashes(words, n) + np.uint64(n))
+
+
 def _shingles(words: np.ndarray) -> Counter:
-    return Counter(shingle_hashes(words, SHINGLE).tolist())
+    return Counter(_hashes(words).tolist())
 
 
 def similarity(a: Counter, b: Counter, weight: dict[int, float], other: float) -> float:
@@ -139,6 +153,8 @@ class Searcher:
     Those few windows may all be changed in a passage that is still similar enough. The first class
     has windows of one shingle, looked for from every word at distance 0: of each item the heaviest
     that together weigh more than 1 - ``least`` of it, one of which every such passage has.
+    Items of fewer than five words are in none of these: they are looked up by their length's own
+    shingles, from every word.
     """
 
     def __init__(self, items: list[Item], least: float = 0.8, weights: Weights | None = None):
@@ -154,13 +170,21 @@ class Searcher:
             count = np.array([c[s] for s in own.tolist()], np.int64)
             self.own.append((own, count, float(weights.weigh(own) @ count)))
         by: dict[int, list[int]] = {}
+        brief: dict[int, list[int]] = {}
         for i, item in enumerate(items):
-            by.setdefault(self._length(len(item.words)), []).append(i)
+            n = len(item.words)
+            (by.setdefault(self._length(n), []) if n >= SHINGLE else brief.setdefault(n, [])).append(i)
+        self.brief = []  # of each length below five: the items' hashes in order, and whose they are
+        for n, members in sorted(brief.items()):
+            hashes = np.array([self.own[i][0][0] for i in members], np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            self.brief.append((n, hashes[order], np.array(members)[order]))
         self.classes = []
-        if items:
-            places = [self._needed(i) for i in range(len(items))]
-            owner = np.repeat(np.arange(len(items)), [len(at) for at in places])
-            prints = [simhash(item.words, at, SHINGLE) for item, at in zip(items, places, strict=True)]
+        if by:
+            full = sorted(i for members in by.values() for i in members)
+            places = [self._needed(i) for i in full]
+            owner = np.repeat(np.array(full), [len(at) for at in places])
+            prints = [simhash(items[i].words, at, SHINGLE) for i, at in zip(full, places, strict=True)]
             self.classes.append((SHINGLE, 1, owner, np.concatenate(places), HammingIndex(np.concatenate(prints), 0)))
         for length, members in sorted(by.items()):
             least = min(len(items[i].words) for i in members)
@@ -197,7 +221,25 @@ class Searcher:
     def find(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """For each item in a document: best similarity, its first word, and how many windows had it."""
         _, start, item = self.candidates(words)
-        return self._best(words, start, item)
+        return self._best(words, start, item) | {i: (1.0, first, n) for i, first, n in self.whole(words, np.array([0, len(words)]))[0]}
+
+    def whole(self, words: np.ndarray, at: np.ndarray) -> list[list[tuple[int, int, int]]]:
+        """For each text, of the items of fewer than five words that it holds: the item, its first word there, how often."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in at[1:]]
+        for n, hashes, members in self.brief:
+            found = _short(words, n)
+            lo = np.searchsorted(hashes, found)
+            place = np.flatnonzero(np.append(hashes, np.uint64(0))[lo] == found)
+            place = place[lo[place] < len(hashes)]
+            doc = np.searchsorted(at, place, "right") - 1
+            inside = place + n <= at[doc + 1]
+            place, doc = place[inside], doc[inside]
+            _, first, times = np.unique(doc * (len(hashes) + 1) + lo[place], return_index=True, return_counts=True)
+            for a, b in zip(first.tolist(), times.tolist(), strict=True):
+                h = found[place[a]]
+                for i in members[np.searchsorted(hashes, h) : np.searchsorted(hashes, h, "right")].tolist():
+                    out[int(doc[a])].append((i, int(place[a] - at[doc[a]]), b))
+        return out
 
     def _best(self, words: np.ndarray, start: np.ndarray, item: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """Of the items that candidates name, what all windows about them have."""
@@ -280,42 +322,66 @@ class Searcher:
         return place, start, item
 
 
-def _items(rows: list) -> list[Item]:
-    out = []
-    column = pa.array([(r["text"] or "").lower() for r in rows], pa.string())
-    words, at = word_hashes(*utf8(column))
-    for r, a, b in zip(rows, at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            out.append(Item(r["item_id"], words[a:b].copy()))
-    return out
+def _lower(texts: pa.Array) -> pa.Array:
+    """What items and documents alike are put into lower case by."""
+    return pa.compute.utf8_lower(texts)
 
 
-def find_items(docs: DataFrame, items: DataFrame, least: float = 0.8, lot: int = 4096) -> DataFrame:
-    """Passages of ``items`` (item_id, text) in documents (doc_id, text), from their whole texts.
+def _items(ids: list[int], texts: pa.Array) -> list[Item]:
+    words, at = word_hashes(*utf8(_lower(texts)))
+    return [Item(i, words[a:b].copy()) for i, a, b in zip(ids, at[:-1].tolist(), at[1:].tolist(), strict=True) if b > a]
 
-    One row for each document and item that it holds with a similarity of at least ``least``: the
-    weighted Jaccard of the item's five-word shingles and those of a window as long as the item,
-    or shorter where the document begins or ends in it; the best of all windows is given, and
-    ``n_windows`` counts those of at least ``least``;
-    a shingle's weight is the logarithm of how rare it is among the items. Words are runs without
-    white space, in lower case. Items go to the tasks in lots of at most ``lot`` (one lot for any
-    usual benchmark), each of which reads the documents; weights are of all items, so lots don't
-    change what is found. Documents aren't shuffled.
-
-    Items of fewer than five words have no shingle and are found nowhere; null texts are empty.
-    Repeated documents give repeated rows, a null doc_id stays null.
-    """
-    rows = _distinct(items)
-    weights = docs.sparkSession.sparkContext.broadcast(_weights(rows))
-    lots = [_find_lot(docs, part, least, weights) for part in _lots(rows, lot)]
-    out = lots[0]
-    for more in lots[1:]:
-        out = out.unionByName(more)
-    return out
 
+@dataclass
+class Lots:
+    """Items as files in the shared folder, at most a lot in each, and the weights of all items' shingles."""
+
+    paths: list[str]
+    least: float
+    weights: Broadcast[Weights]
+
+    def searcher(self, i: int) -> Searcher:
+        store, local = open_fs(self.paths[i])
+        with store.open_input_stream(local) as file, pa.ipc.open_stream(file) as stream:
+            rows = stream.read_all().combine_chunks()
+        return Searcher(_items(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks()), self.least, self.weights.value)
+
+    def search(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[dict[int, list[tuple]]]]]:
+        """Each batch with what was found in each of its documents, by item_id.
+
+        A single lot is set up once for a task. Several take turns at each batch, so documents are
+        read once and one lot is held at a time.
+        """
+        one = self.searcher(0) if len(self.paths) == 1 else None
+        for batch in batches:
+            found: list[dict[int, list[tuple]]] = [{} for _ in range(batch.num_rows)]
+            for i in range(len(self.paths)):
+                searcher = one or self.searcher(i)
+                for doc, best in _hits(searcher, batch):
+                    for item, what in best.items():
+                        key = searcher.items[item].item_id
+                        found[doc].setdefault(key, []).append(what)  # several texts may have one item_id
+            yield batch, found
+
+
+def _lots(items: DataFrame, least: float, lot: int) -> Lots:
+    spark = items.sparkSession
+    stage = Stage(spark, "items")
+    rows = stage.save(items.select("item_id", "text").filter("text is not null").dropDuplicates(["item_id", "text"]), "items")
+    folder = stage.path("lots")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, lot):
+                with new_file(folder, f"lot-{no}") as (stream, path), pa.ipc.new_stream(stream, batch.schema) as out:
+                    out.write_batch(batch.slice(at, lot))
+                no += 1
+                yield pa.RecordBatch.from_pydict({"path": [path]})
 
-def _distinct(items: DataFrame) -> DataFrame:
-    return items.select("item_id", "text").filter("text is not null").dropDuplicates(["item_id", "text"])
+    parts = max(1, -(-rows.count() // lot))
+    paths = [r.path for r in stage.save(rows.repartition(parts).mapInArrow(write, "path string"), "paths").collect()]
+    return Lots(sorted(paths), least, spark.sparkContext.broadcast(_weights(rows)))
 
 
 def _weights(rows: DataFrame) -> Weights:
@@ -323,8 +389,8 @@ def _weights(rows: DataFrame) -> Weights:
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for item in _items(batch.to_pylist()):
-                own = np.unique(shingle_hashes(item.words, SHINGLE)).view(np.int64)
+            for item in _items(batch.column("item_id").to_pylist(), batch.column("text")):
+                own = np.unique(_hashes(item.words)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([None, *own.tolist()], pa.int64())], ["shingle"])  # null counts the items
 
     seen = rows.mapInArrow(shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1 or shingle is null").toArrow()
@@ -333,43 +399,49 @@ def _weights(rows: DataFrame) -> Weights:
     return Weights.of(n_items, np.array(list(counts), np.int64).view(np.uint64), np.array(list(counts.values()), np.int64))
 
 
-def _lots(rows: DataFrame, size: int) -> Iterator[list[dict]]:
-    """The items in lots, fetched one partition at a time; one empty lot if there are none."""
-    rows = rows.orderBy("item_id", "text")
-    part: list[dict] = []
-    some = False
-    for r in rows.toLocalIterator():
-        part.append(r.asDict())
-        if len(part) == size:
-            yield part
-            part, some = [], True
-    if part or not some:
-        yield part
-
-
 def _hits(searcher: Searcher, batch: pa.RecordBatch) -> Iterator[tuple[int, dict]]:
     """For each document of a batch, in its order: what was found in it."""
-    text = pa.compute.utf8_lower(batch.column("text"))
+    text = _lower(batch.column("text"))
     for lo, hi in text_batches(text):
         words, at = word_hashes(*utf8(text.slice(lo, hi - lo)))
         place, start, item = searcher.candidates(words)
         doc = np.searchsorted(at, place, "right") - 1
         order = np.argsort(doc, kind="stable")
         start, item = start[order], item[order]
+        found: dict[int, dict] = {}
         docs, first = np.unique(doc[order], return_index=True)
         for d, a, b in zip(docs.tolist(), first.tolist(), np.append(first, len(doc))[1:].tolist(), strict=True):
-            best = searcher._best(words[at[d] : at[d + 1]], start[a:b] - at[d], item[a:b])
-            if best:
-                yield lo + d, best
+            if best := searcher._best(words[at[d] : at[d + 1]], start[a:b] - at[d], item[a:b]):
+                found[d] = best
+        if searcher.brief:
+            for d, some in enumerate(searcher.whole(words, at)):
+                if some:
+                    found.setdefault(d, {}).update({i: (1.0, first, n) for i, first, n in some})
+        for d in sorted(found):
+            yield lo + d, found[d]
 
 
-def _find_lot(docs: DataFrame, rows: list[dict], least: float, weights: Broadcast[Weights]) -> DataFrame:
-    names = [x.split()[0] for x in FOUND.split(", ")]
+def find_items(docs: DataFrame, items: DataFrame, least: float = 0.8, lot: int = 4096) -> DataFrame:
+    """Passages of ``items`` (item_id, text) in documents (doc_id, text), from their whole texts.
+
+    One row for each document and item that it holds with a similarity of at least ``least``: the
+    weighted Jaccard of the item's five-word shingles and those of a window as long as the item,
+    or shorter where the document begins or ends in it; the best of all windows is given, and
+    ``n_windows`` counts those of at least ``least``; a shingle's weight is the logarithm of how
+    rare it is among the items. Words are runs without white space, in lower case. An item of
+    fewer than five words is one shingle, its whole sequence, and is found where those words stand
+    next to each other, with similarity 1; one without words, or with a null text, is found nowhere.
+
+    Items go to the shared folder in files of at most ``lot``, from which tasks read them, one file
+    at a time; weights are of all items, so lots don't change what is found. Documents are read
+    once and aren't shuffled. Null texts of documents are empty; repeated documents give repeated
+    rows, a null doc_id stays null; equal rows of ``items`` count once.
+    """
+    lots, names = _lots(items, least, lot), [x.split()[0] for x in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(_items(rows), least, weights.value)
-        for batch in batches:
-            out = [(doc, searcher.items[i].item_id, *found) for doc, best in _hits(searcher, batch) for i, found in sorted(best.items())]
+        for batch, found in lots.search(batches):
+            out = [(doc, key, *what) for doc, some in enumerate(found) for key in sorted(some, key=lambda x: (x is not None, x)) for what in some[key]]
             if out:
                 doc, *rest = zip(*out, strict=True)
                 kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -380,19 +452,10 @@ def _find_lot(docs: DataFrame, rows: list[dict], least: float, weights: Broadcas
 
 def drop_found(docs: DataFrame, items: DataFrame, least: float = 0.8, lot: int = 4096) -> DataFrame:
     """``docs``, all columns, without the documents in which :func:`find_items` finds an item; nothing is shuffled."""
-    rows = _distinct(items)
-    weights = docs.sparkSession.sparkContext.broadcast(_weights(rows))
-    for part in _lots(rows, lot):
-        docs = _drop_lot(docs, part, least, weights)
-    return docs
-
+    lots = _lots(items, least, lot)
 
-def _drop_lot(docs: DataFrame, rows: list[dict], least: float, weights: Broadcast[Weights]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(_items(rows), least, weights.value)
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            keep[[doc for doc, _ in _hits(searcher, batch)]] = False
-            yield batch.filter(pa.array(keep))
+        for batch, found in lots.search(batches):
+            yield batch.filter(pa.array([not some for some in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
