@@ -12,9 +12,13 @@ work grows with the text, not with its square.
    which leaves of a passage in a third of all documents one row for each task. Segments of marked
    anchors are cut into their windows, which belong to the shard of their own words: windows that
    straddle the edge of such a passage are all different but have few anchors.
-3. Each shard builds an FM-index of its distinct segments (a BWT in a wavelet matrix over packed
-   bits) and finds, by backward search, the interval of each window and its least doc_id.
-4. What was found goes back to the documents by segment.
+3. Each shard builds an FM-index of its distinct segments: a BWT in a wavelet matrix over packed
+   bits and, instead of the suffix array, the rank of each suffix's document. Segments stream past
+   it: backward search gives the matching statistic of each word, the length of the longest run of
+   words that ends there and that another place of the shard, or an earlier document with the same
+   segment, has too. Those of at least 13 words are reported with the least doc_id of their interval.
+4. What was found goes back to the rows of documents by segment; a row is its doc_id and a hash of
+   its text, so rows of one doc_id with different texts are kept apart.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from tidelog.stage import Stage
 
 GRAM, _MOST = 4, 15
 ANCHORS = "doc_id long, anchor long, place long"
-SEGMENTS = "doc_id long, segments array<struct<seg:long,start:int>>, n long, home long, seg long, low long, high long, codes binary"
+SEGMENTS = "doc_id long, row long, segments array<struct<seg:long,start:int>>, n long, home long, seg long, low long, high long, codes binary"
 FOUND = "seg long, first array<long>"
 _SHARD_WINDOWS, _HOT_WINDOWS, _FLUSH = 40_000, 10_000, 200_000
 
@@ -55,16 +59,19 @@ class WaveletMatrix:
             ones = bit.astype(bool)
             self.zeros.append(int(len(s) - ones.sum()))
             s = np.concatenate([s[~ones], s[ones]])
+        # where each symbol's run begins at the last level
+        self.start = self._down(np.arange(1 << levels), np.zeros(1 << levels, np.int64))
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many of each symbol lie before each position; and where the symbol's run begins at the last level."""
-        start = np.zeros(len(at), np.int64)
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many of each symbol lie before each position."""
+        return self._down(symbol, at) - self.start[symbol]
+
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for i in range(self.levels):
             one = ((symbol >> (self.levels - 1 - i)) & 1).astype(bool)
-            a, b = self._ones(i, start), self._ones(i, at)
-            start = np.where(one, self.zeros[i] + a, start - a)
-            at = np.where(one, self.zeros[i] + b, at - b)
-        return at - start, start
+            ones = self._ones(i, at)
+            at = np.where(one, self.zeros[i] + ones, at - ones)
+        return at
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         word = at >> 6
@@ -73,13 +80,14 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Index of sequences for patterns of at most ``depth`` symbols.
+    """Compressed index of sequences for patterns of at most ``depth`` symbols.
 
     Suffixes are sorted by their first ``depth`` symbols, by doubling, which is all that backward
-    search for such patterns needs.
+    search for such patterns needs. Their order isn't kept, only the BWT and, for each suffix, the
+    rank of its ``owner`` (32 bits), which is what is asked of an interval.
     """
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, depth: int, owner: np.ndarray | None = None):
         n, rank, have = len(text), text.astype(np.int64), 1
         while have < depth:
             step = min(have, depth - have)
@@ -87,25 +95,38 @@ class FmIndex:
             tail[: n - step] = rank[step:] + 1
             pair = rank * (int(tail.max()) + 1) + tail
             rank, have = np.unique(pair, return_inverse=True)[1].astype(np.int64), have + step
-        self.suffixes = np.argsort(rank, kind="stable")
-        self.size = int(text.max()) + 1
-        self.bwt = WaveletMatrix(text[self.suffixes - 1], max(1, (self.size - 1).bit_length()))
+        suffixes = np.argsort(rank, kind="stable")
+        self.length, self.size = n, int(text.max()) + 1
+        self.bwt = WaveletMatrix(text[suffixes - 1], max(1, (self.size - 1).bit_length()))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.size))])
-
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each row of ``patterns``, by backward search: how many symbols at its end match, and their interval."""
-        last = patterns[:, -1]
-        lo, hi = self.first[last], self.first[last + 1]
-        matched = np.where(hi > lo, 1, 0)
-        for j in range(patterns.shape[1] - 2, -1, -1):
-            c = patterns[:, j]
-            a, _ = self.bwt.rank(c, lo)
-            b, _ = self.bwt.rank(c, hi)
-            a, b = self.first[c] + a, self.first[c] + b
-            go = (b > a) & (matched == patterns.shape[1] - 1 - j)
-            lo, hi, matched = np.where(go, a, lo), np.where(go, b, hi), matched + go
+        if owner is not None:
+            self.owners, ranks = np.unique(owner, return_inverse=True)
+            self.rank = np.append(ranks.astype(np.int32)[suffixes], np.int32(len(self.owners)))
+
+    def statistics(self, stream: np.ndarray, ends: np.ndarray, most: int, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of a stream at the positions ``ends``, by backward search.
+
+        For each position: how many symbols up to and with it (at most ``most``) occur together in
+        at least ``need`` places of the index, and the interval of those.
+        """
+        matched, lo, hi, live = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.full(len(ends), self.length, np.int64), np.arange(len(ends))
+        for j in range(most):
+            c = stream[ends[live] - j]
+            a, b = self.first[c] + self.bwt.rank(c, lo[live]), self.first[c] + self.bwt.rank(c, hi[live])
+            go = b - a >= need[live]
+            live = live[go]
+            if not len(live):
+                break
+            lo[live], hi[live], matched[live] = a[go], b[go], j + 1
         return matched, lo, hi
 
+    def least_owner(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The least owner within each interval; intervals are equal or apart, as those of equally long patterns are."""
+        starts, back = np.unique(lo, return_inverse=True)
+        stops = np.zeros(len(starts), np.int64)
+        stops[back] = hi
+        return self.owners[np.minimum.reduceat(self.rank, np.stack([starts, stops], 1).reshape(-1))[::2][back]]
+
 
 def _shard(table: pa.Table, window: int) -> pa.Table:
     """Least doc_id of each window of the shard's segments, for segments that have something to remove."""
@@ -125,22 +146,19 @@ def _shard(table: pa.Table, window: int) -> pa.Table:
     solid[ends - 1] = False
     text[solid] = np.unique(codes, return_inverse=True)[1] + 1
     owner = np.repeat(np.arange(n), size + 1)
-    index = FmIndex(text, window)
+    index = FmIndex(text, window, low[owner])
+    need = np.where(low < high, 1, 2)[owner]  # a segment that one document has is found at its own place
     begin = ends - size - 1
     per = size - window + 1
-    at = np.repeat(begin, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    least = np.empty(len(at), np.int64)
-    docs = low[owner[index.suffixes]]
-    for i in range(0, len(at), 1 << 16):
-        part = at[i : i + (1 << 16)]
-        matched, lo, hi = index.search(text[part[:, None] + np.arange(window)])
-        assert (matched == window).all()  # each window is in the index at least once
-        starts, back = np.unique(lo, return_inverse=True)
-        stops = np.zeros(len(starts), np.int64)
-        stops[back] = hi
-        cuts = np.minimum(np.stack([starts, stops], 1).reshape(-1), len(docs))
-        padded = np.append(docs, np.iinfo(np.int64).max)
-        least[i : i + (1 << 16)] = np.minimum.reduceat(padded, cuts)[::2][back]
+    # only words with a whole window behind them can reach the threshold
+    last = np.repeat(begin, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + window - 1
+    least = np.full(len(last), np.iinfo(np.int64).max)
+    for i in range(0, len(last), 1 << 16):
+        part = last[i : i + (1 << 16)]
+        matched, lo, hi = index.statistics(text, part, window, need[part])
+        above = np.flatnonzero(matched >= window)
+        if len(above):
+            least[i + above] = index.least_owner(lo[above], hi[above])
     offsets = np.concatenate([[0], np.cumsum(per)])
     some = np.minimum.reduceat(least, offsets[:-1]) < high
     keep = np.flatnonzero(some)
@@ -205,11 +223,11 @@ def _keys(words: np.ndarray, starts: np.ndarray, n: np.ndarray, window: int) ->
 def repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame:
     """Segments of documents with windows that start in a document of a smaller doc_id too.
 
-    Rows (doc_id, start, first): the words from ``start`` on begin windows whose least doc_ids are
-    ``first``. Words are compared by 32 bits of their hashes, so two different words in otherwise
+    Rows (doc_id, row, start, first): the words from ``start`` on begin windows whose least doc_ids
+    are ``first``; ``row`` is xxhash64 of the text. Words are compared by 32 bits of their hashes, so two different words in otherwise
     equal windows are taken for one another once in 4 * 10**9 such pairs.
     """
-    rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").withColumn("row", F.xxhash64("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +240,7 @@ def repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame:
                     keys = batch.column("doc_id").slice(lo, hi - lo).to_numpy()
                     yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(anchor[starts].view(np.int64)), pa.array((starts - at[doc]) * 32 + n)], ["doc_id", "anchor", "place"])
 
-    found = stage.save(rows.mapInArrow(anchors, ANCHORS), "anchors")
+    found = stage.save(rows.select("doc_id", "text").mapInArrow(anchors, ANCHORS), "anchors")
     counts = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.col("place") % 32).alias("n"))
     several = counts.filter("low < high").select("anchor", F.when(F.col("n") > _HOT_WINDOWS, 16).otherwise(0).alias("hot"))
     shared = stage.save(found.join(several, "anchor").select("doc_id", "anchor", (F.col("place") + F.col("hot")).alias("place")), "shared-anchors")
@@ -236,7 +254,7 @@ def repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame:
         def flush() -> pa.RecordBatch:
             n = len(kept)
             home, low, high, codes = zip(*kept.values(), strict=True)
-            out = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(kind)), pa.nulls(n, pa.int64()), pa.array(home, pa.int64()), pa.array(list(kept), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(codes, pa.binary())]
+            out = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(kind)), pa.nulls(n, pa.int64()), pa.array(home, pa.int64()), pa.array(list(kept), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(codes, pa.binary())]
             kept.clear()
             return pa.RecordBatch.from_arrays(out, names)
 
@@ -282,23 +300,23 @@ def repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)), values)
                 windows = np.bincount(doc, n, hi - lo).astype(np.int64)
                 none = [pa.nulls(hi - lo, pa.int64())] * 4
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(windows), *none, pa.nulls(hi - lo, pa.binary())], names).filter(pa.array(windows > 0))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), lists, pa.array(windows), *none, pa.nulls(hi - lo, pa.binary())], names).filter(pa.array(windows > 0))
                 if len(kept) >= _FLUSH:
                     yield flush()
         if kept:
             yield flush()
 
     places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
-    cut = stage.save(rows.join(places.hint("merge"), "doc_id").select("doc_id", "text", "places").mapInArrow(segments, SEGMENTS), "segments")
+    cut = stage.save(rows.join(places.hint("merge"), "doc_id").select("doc_id", "text", "row", "places").mapInArrow(segments, SEGMENTS), "segments")
     stage.drop("shared-anchors")
 
     windows = cut.agg(F.sum("n")).first()[0] or 0
     shard = F.pmod(F.xxhash64("home"), F.lit(max(1, windows // _SHARD_WINDOWS))).alias("shard")
     distinct = cut.filter("seg is not null").select(shard, "seg", "low", "high", "codes")
     first = stage.save(distinct.groupBy("shard").applyInArrow(lambda table: _shard(table, window), FOUND), "first")
-    each = cut.filter("segments is not null").select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
-    hits = each.select("doc_id", "seg", "start").join(first, "seg").filter(F.exists("first", lambda x: x < F.col("doc_id")))
-    return hits.select("doc_id", "start", "first")
+    each = cut.filter("segments is not null").select("doc_id", "row", F.explode("segments").alias("s")).select("doc_id", "row", "s.*")
+    hits = each.join(first, "seg").filter(F.exists("first", lambda x: x < F.col("doc_id")))
+    return hits.select("doc_id", "row", "start", "first")
 
 
 def remove_repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame:
@@ -307,14 +325,15 @@ def remove_repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame
     Adds n_words, n_removed and replaces ``text`` by what is kept, with its white space; a removed
     word takes the white space behind it along. Other columns stay. Windows are judged on the
     input. Null texts stay null and have no words; texts of fewer than ``window`` words stay; rows
-    of equal doc_id don't remove anything from each other; rows with a null doc_id are left as they
-    are and remove nothing.
+    of equal doc_id, a handful at most, don't remove anything from each other, whether their texts
+    are equal or not; rows with a null doc_id are left as they are and remove nothing.
     """
-    found = repeats(docs, stage, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "first")).alias("found"))
-    found = stage.save(found.select(F.col("doc_id").alias("__found_doc_id"), F.col("found").alias("__found")), "found")
+    found = repeats(docs, stage, window).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "first")).alias("found"))
+    found = stage.save(found.select(F.col("doc_id").alias("__found_doc_id"), F.col("row").alias("__found_row"), F.col("found").alias("__found")), "found")
     stage.drop("segments")
     others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
-    joined = docs.join(found.hint("merge"), docs["doc_id"] == F.col("__found_doc_id"), "left").select(*(docs[c] for c in others), docs["text"], "__found")
+    same = (docs["doc_id"] == F.col("__found_doc_id")) & (F.xxhash64(docs["text"]) == F.col("__found_row"))
+    joined = docs.join(found.hint("merge"), same, "left").select(*(docs[c] for c in others), docs["text"], "__found")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*others).schema) + ", text string, n_words long, n_removed long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
