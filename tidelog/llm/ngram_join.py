@@ -6,7 +6,8 @@ its transpose. The product is made in blocks, and only where size-derived bounds
 * A set of n n-grams can only be linked with sets that hold ceil(t * n) of its n-grams, so two
   linked sets share one of the first n - ceil(t * n) + 1 in any common order (the prefix). The
   order used puts the quarter of all hashes below ``REGION`` first, the rarest first, then the
-  others, and n-grams of very frequent hash buckets last.
+  others, and n-grams of very frequent hash buckets last. How rare an n-gram is comes from counts
+  with partial results, and n-grams meet their counts in a join that can split a very frequent one.
 * n-grams of a prefix that only one set holds link nothing. Sets whose prefix consists of such
   ones, as that of nearly every document without a near copy, go no further.
 * The others form families: sets connected by prefix n-grams. Every link lies within a family.
@@ -150,18 +151,23 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent: bytes) -> DataFra
     return docs.select("text").mapInArrow(run, POSTINGS)
 
 
-def _in_prefix(postings: DataFrame, percent: int) -> DataFrame:
-    """Prefix n-grams that at least two sets hold."""
-    by = Window.partitionBy("h").orderBy("sig")
-    seen = postings.withColumn("again", F.coalesce(F.lag("sig").over(by) == F.col("sig"), F.lit(False))).withColumn("no", F.dense_rank().over(by))
-    counted = seen.withColumn("df", F.max("no").over(Window.partitionBy("h"))).filter("not again and df >= 2").select("h", "sig", "n", "r0", "later", "df")
+def _in_prefix(postings: DataFrame, percent: int, stage: Stage) -> DataFrame:
+    """Prefix n-grams that at least two tasks or sets gave.
+
+    An n-gram's place in the order goes by its number of postings, one for each task and set: any
+    number does that is the same for all sets that hold it.
+    """
+    counts = postings.groupBy("h").agg(F.count("*").alias("df")).filter("df >= 2")
+    # written, so that the join may split a very frequent n-gram and nothing relies on how it was dealt
+    counted = stage.save(postings.join(counts.hint("merge"), "h").select("h", "sig", "n", "r0", "later", "df"), "counted")
+    once = counted.dropDuplicates(["sig", "h"])
     of = Window.partitionBy("sig")
     shared = F.count_if(~F.col("later")).over(of)
     prefix = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    # n-grams that no other set holds are the rarest and come first
+    # n-grams with one posting are the rarest and come first
     slots = prefix - (F.col("r0") - shared)
     place = F.row_number().over(of.orderBy("later", "df", "h"))
-    return counted.withColumn("slots", slots).withColumn("place", place).filter(F.col("later") | (F.col("place") <= F.col("slots"))).select("h", "sig", "n")
+    return once.withColumn("slots", slots).withColumn("place", place).filter(F.col("later") | (F.col("place") <= F.col("slots"))).select("h", "sig", "n")
 
 
 def _size_class(n: Column, percent: int) -> Column:
@@ -267,8 +273,10 @@ def join(docs: DataFrame, stage: Stage, k: int = 4, percent: int = 85) -> DataFr
     sets = stage.save(_sets(docs, k), "sets")
     frequent = _frequent(sets)
     sets = sets.filter("block is null").select("doc_id", "n", "sig")
-    rows = _in_prefix(_postings(docs, k, percent, frequent), percent)
-    prefix = stage.save(rows, "prefix")
+    postings = stage.save(_postings(docs, k, percent, frequent), "postings")
+    prefix = stage.save(_in_prefix(postings, percent, stage), "prefix")
+    stage.drop("postings")
+    stage.drop("counted")
     # each list of sets with a common prefix n-gram is a star around its least signature
     hub = prefix.groupBy("h").agg(F.min("sig").alias("hub"))
     stars = prefix.join(hub, "h").select(F.col("sig").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
