@@ -1,0 +1,23 @@
+"""The subpackage's queries against their SQL in DuckDB, over whole tables."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from conftest import rows_of
+from tidelog.llm.queries import oracle_sql, queries
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_equals_sql(name, spark, sf_dir):
+    con = duckdb.connect()
+    for p in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    df = queries()[name](spark, sf_dir)
+    result = con.execute(oracle_sql()[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, result.fetchall())

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import io
-import json
 import random
+import time
 import zlib
 from html import unescape
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelog.llm import chat, html_text, toxicity, warc
 from tidelog.llm import queries as Q
-from tidelog.llm.packing import OpenWindows, best_fit_decreasing, pack
+from tidelog.llm.packing import OpenWindows, best_fit_decreasing, pack, powers
 from tidelog.llm.token_files import bits_for, pack_bits, read_token_files, unpack_bits, write_token_files
 from tidelog.llm.tokens import encoder
 from tidelog.stage import Stage
@@ -28,6 +27,17 @@ def docs(spark, rows=ODD):
     return spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, length string, sequence_id int")
 
 
+def linear(f, make, sizes=(250_000, 1_000_000)):
+    """Whether f's time for the larger input is about in proportion to that for the smaller one."""
+    took = []
+    for n in sizes:
+        data = make(n)
+        began = time.perf_counter()
+        f(data)
+        took.append(time.perf_counter() - began)
+    return took[1] < 2.5 * sizes[1] / sizes[0] * max(took[0], 0.02)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return Tokenizer.from_file(Q.TOKENIZER)
@@ -74,6 +84,20 @@ def test_packing_covers_each_token_once(spark, tokenizer):
             assert r.offset == at
             at += r.length
         assert at <= 256 and {r.sequence_tokens for r in pieces} == {at}
+        assert at & (at - 1) == 0 or at >= 240  # a power of two, or nearly full
+
+
+@pytest.mark.parametrize("tasks", [1, 4, 64])
+def test_padding_does_not_depend_on_the_tasks(spark, sf_dir, tasks):
+    rows = pack(Q.table(spark, sf_dir, "documents").repartition(tasks), Q.TOKENIZER).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    tokens = sum(r[1] for r in rows)
+    padding = sum(1024 - r[1] for r in rows if r[1] & (r[1] - 1))
+    assert padding <= 0.01 * tokens
+
+
+def test_powers_add_up():
+    assert all(sum(powers(n)) == n and powers(n) == sorted(powers(n), reverse=True) for n in range(1025))
+    assert powers(0) == [] and powers(1000) == [512, 256, 128, 64, 32, 8]
 
 
 def test_best_fit_takes_the_tightest_window():
@@ -114,20 +138,58 @@ def test_token_files_round_trip(spark, tokenizer):
     assert [tuple(r) for r in sorted(rows, key=lambda r: r.start)] == want
 
 
-@pytest.mark.parametrize("f", [lambda d, s: pack(d, Q.TOKENIZER), lambda d, s: read_token_files(write_token_files(d, Q.TOKENIZER, Stage(s, "empty")))])
+def test_token_files_roll(spark, tokenizer):
+    stage = Stage(spark, "test")
+    manifest = write_token_files(docs(spark), Q.TOKENIZER, stage, roll=6000, roll_docs=3)
+    assert manifest.count() > 2 and max(r.docs for r in manifest.collect()) <= 3
+    whole = read_token_files(write_token_files(docs(spark), Q.TOKENIZER, Stage(spark, "test")))
+    assert sorted(map(str, read_token_files(manifest).collect())) == sorted(map(str, whole.collect()))
+
+
+NOTHING = [
+    lambda s: pack(docs(s).limit(0), Q.TOKENIZER),
+    lambda s: read_token_files(write_token_files(docs(s).limit(0), Q.TOKENIZER, Stage(s, "empty"))),
+    lambda s: html_text.extract(s.createDataFrame([], "page_id long, url string, html string")),
+    lambda s: chat.digests(chat.format_turns(s.createDataFrame([], "conv_id long, turn long, role string, text string"), Q.TOKENIZER), Q.TOKENIZER),
+    lambda s: toxicity.score(docs(s).limit(0), toxicity.Lexicon({" bad ": 2.0}, ())),
+    lambda s: toxicity.keep_clean(docs(s).limit(0), toxicity.Lexicon({" bad ": 2.0}, ())),
+]
+
+
+@pytest.mark.parametrize("f", NOTHING)
 def test_empty_tables(spark, f):
-    assert f(docs(spark).limit(0), spark).count() == 0
+    assert f(spark).count() == 0
 
 
 # --------------------------------------------------------------------------- chat
 
 
-@pytest.mark.parametrize("text", ["", "\\", "\\\\### x", "####", "</turn>", "\\</turn>", "### </turn> \\### ok", "a\\b: c"])
-def test_escapes_round_trip(text):
+PARTS = ["\\", "#", "##", "###", ":", "</turn>", "<|endoftext|>", "<|endof", "text|>", "a", " ", "é"]
+
+
+def test_no_control_string_is_left_and_escapes_round_trip():
+    enc, escapes, rng = encoder(Q.TOKENIZER), chat.Escapes.of(Q.TOKENIZER), random.Random(3)
+    controls = [t.content for t in enc.tokenizer.get_added_tokens_decoder().values()]
+    assert controls
+    texts = [*controls, "\\### Assistant: </turn> ok", *("".join(rng.choices(PARTS, k=rng.randint(0, 9))) for _ in range(3000))]
     for role in (False, True):
-        hidden = chat.escape(text, role)
-        assert chat.unescape(hidden, role) == text
-        assert "</turn>" not in hidden.replace("\\\\", "").replace("\\</turn>", "")
+        hidden = [escapes.escape(t, role) for t in texts]
+        assert [chat.unescape(h) for h in hidden] == texts
+        assert not [h for h in hidden for c in ("###", "</turn>", *controls) if c in h]
+        added = set(enc.tokenizer.get_added_tokens_decoder())
+        assert not [h for h, ids in zip(hidden, enc.encode(hidden), strict=True) if not added.isdisjoint(ids.tolist())]
+    with pytest.raises(ValueError, match="escaped"):
+        chat.Escapes(["x"])
+
+
+def test_content_makes_no_reserved_id(spark):
+    said = "a <|endoftext|> b ### : </turn>"
+    turns = spark.createDataFrame([(1, 0, said, said), (1, 1, "assistant", said * 3)], "conv_id long, turn long, role string, text string")
+    size = encoder(Q.TOKENIZER).size
+    added = set(encoder(Q.TOKENIZER).tokenizer.get_added_tokens_decoder())
+    for r in chat.format_turns(turns, Q.TOKENIZER).collect():
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert [i - size for i in ids if i >= size] == [0, 1, 2] and added.isdisjoint(ids)
 
 
 def test_conversations_read_back(spark):
@@ -178,6 +240,24 @@ def test_pages_of_the_table(spark, sf_dir):
         assert r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("part", ["<a ", '<a "b>" ', "<div></section>", "</script ", "<![x", "<p>&amp; ", "<a href=x>y ", "a < b "])
+def test_time_grows_with_the_page(part):
+    tree = html_text.train()
+    assert linear(lambda h: html_text.main_text(h, tree), lambda n: part * (n // len(part)) + "'")
+
+
+def test_very_long_pages():
+    text = " ".join(f"word{i % 977} and more of it." for i in range(400_000))
+    assert main(f"<html><body><nav><a href=x>A</a></nav><article><p>{text}</p></article></body></html>") == text
+
+
+def test_references_and_open_links():
+    assert main("<article><p>Some text of a page, with a &<b>amp;</b> b, &lt;c> and &amp;lt; in it.</p></article>") == "Some text of a page, with a &amp; b, <c> and &lt; in it."
+    long = "Here is a sentence of an article that goes on for quite some words and ends in the end."
+    html = f"<body><article><div><a href=x>open</div><p>{long}</p><p>{long} Again.</p></article></body>"
+    assert [b[2] for b in html_text.blocks(html)] == [1.0, 0.0, 0.0]
+
+
 # --------------------------------------------------------------------------- archives
 
 
@@ -196,17 +276,39 @@ def archive(n, compress):
 def test_salvage(compress):
     data, at = archive(6, compress)
     bad = bytearray(data)
-    bad[at[1] + 40] ^= 255  # damage in the second record
+    bad[at[2] - 9] ^= 255  # damage in the second record's content
     bad[at[3] : at[3]] = b"noise\x1f\x8b\x08 WARC/1.0 junk"  # junk before the fourth
     bad = bytes(bad[:-5])  # and the last is cut short
     rows = list(warc.salvage(io.BytesIO(bad)))
-    assert [r["page_id"] for r in rows if r["kind"] == "record"] == [0, 2, 3, 4] or (not compress and [r["page_id"] for r in rows if r["kind"] == "record"][-3:] == [2, 3, 4])
+    assert [r["page_id"] for r in rows if r["kind"] == "record"] == [0, 2, 3, 4]
     gaps = [(r["start"], r["stop"]) for r in rows if r["kind"] == "gap"]
     assert gaps[-1][1] == len(bad)
     covered = sorted((r["start"], r["stop"]) for r in rows)
     assert covered[0][0] == 0 and all(a[1] == b[0] for a, b in zip(covered, covered[1:], strict=False))
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_salvage_holds_little(compress, monkeypatch):
+    rng = random.Random(2)
+    records = [warc.record_bytes(i, "u", p := rng.randbytes(50_000), warc.digest(p), None, False) for i in range(200)]
+    if compress:
+        import gzip
+
+        records = [gzip.compress(r) for r in records]
+    data = bytearray(b"".join(records))
+    data[len(records[0]) + 600] ^= 255
+    most, more = [0], warc._Bytes.more
+    monkeypatch.setattr(warc._Bytes, "more", lambda self: (more(self), most.append(max(most.pop(), len(self.data))))[0])
+    rows = list(warc.salvage(io.BytesIO(data), len(data)))
+    assert [r["page_id"] for r in rows if r["kind"] == "record"] == [0, *range(2, 200)]
+    assert most[0] < 3 << 20 < len(data)
+
+
+@pytest.mark.parametrize("junk", [b"WARC/1.1\r\n", b"WARC/1.1\r\n\r\n", b"\x1f\x8b\x08\x00aa", b"WARC/1.1 \x1f\x8b\x08"])
+def test_false_marks_take_linear_time(junk):
+    assert linear(lambda d: [r["kind"] for r in warc.salvage(io.BytesIO(d))] == ["gap"] or 1 / 0, lambda n: junk * (n // len(junk)))
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "http://a b\n", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "é"), (5, "u", "é"), (None, "u", "same")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
@@ -233,6 +335,25 @@ def test_exceptions_and_weights():
     assert toxicity.matches(found, toxicity.fold("")) == (0, 0)
 
 
+def test_time_grows_with_the_text():
+    found = toxicity.Lexicon({" trash ": 2.0, " can ": 1.0}, ("trash can",)).automaton()
+    assert linear(toxicity.fold, lambda n: "a@b $ " * (n // 6))
+    assert linear(lambda t: toxicity.matches(found, t), lambda n: toxicity.fold("trash can " * (n // 10)))
+    assert toxicity.matches(found, toxicity.fold("trash can " * 1000 + "trash")) == (2.0, 1)
+
+
+def test_exceptions_are_learned(spark):
+    rows = [(i, f"you are such trash number {i}") for i in range(1, 60)] + [(i, f"the trash can of room {i} is full") for i in range(100, 104)] + [(i, f"a fine day number {i} for all") for i in range(200, 300)]
+    rows += [(300, "z" * 50 + " trash"), (301, "z" * 50)]
+    labels = spark.createDataFrame([(i, int("such trash" in t or "zz" in t)) for i, t in rows], "doc_id long, toxic int")
+    lexicon = toxicity.train(docs(spark, rows), labels, Stage(spark, "test"))
+    assert {p.split()[0] for p in lexicon.weights} & {"trash", "tras", "such"}
+    if any(p.strip() in ("trash", "tras") for p in lexicon.weights):
+        assert "trash can" in lexicon.exceptions
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs(spark, [(1, "you are such trash"), (2, "the trash can is full"), (3, None), (3, "")]), lexicon).collect()}
+    assert got == {1: 1, 2: 0, 3: 0}
+
+
 def test_held_out_accuracy(spark, sf_dir):
     scored = Q.op6_toxicity(spark, sf_dir).join(Q.table(spark, sf_dir, "labels"), "doc_id").filter("held_out").collect()
     right = sum(r.predicted == r.toxic for r in scored)
@@ -247,5 +368,3 @@ def test_nothing_to_learn_from(spark):
     rows = toxicity.score(docs(spark), lexicon).collect()
     assert len(rows) == len(ODD) and {r.predicted for r in rows} == {0}
     assert toxicity.keep_clean(docs(spark), lexicon).count() == len(ODD)
-    assert json.dumps([r.score for r in rows])
-    assert docs(spark).select(F.count("*")).first()[0] == len(ODD)
