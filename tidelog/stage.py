@@ -1,4 +1,4 @@
-"""Tables written to the folder that driver and executors share."""
+"""Tables and small files in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -6,21 +6,28 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_GC_SECONDS = 5.0
+_let_go_at = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (tests in local mode) a temporary folder of our own is used.
+    Only in local mode, where there is but one machine, a temporary folder of our own takes its
+    place if the session has none; on a cluster that is an error.
     """
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="tidelog-")
             atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -28,6 +35,42 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+class Files:
+    """Small files of a folder, through the file system that Spark uses for it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        jvm = spark.sparkContext._jvm
+        self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}" if name else folder)
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self, name: str = "") -> list[str]:
+        where = self._at(name)
+        return [f.getPath().getName() for f in self._fs.listStatus(where)] if self._fs.exists(where) else []
+
+    def exists(self, name: str) -> bool:
+        return bool(self._fs.exists(self._at(name)))
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Under its name only once it is whole."""
+        half, whole = self._at(f"{name}.tmp"), self._at(name)
+        stream = self._fs.create(half, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if not self._fs.rename(half, whole):
+            raise OSError(f"{self.folder}/{name} is already there")
+
+    def delete(self, name: str = "") -> None:
+        self._fs.delete(self._at(name), True)
+
+
 class Stage:
     """Tables written to the shared folder between the steps of one operator.
 
@@ -51,21 +94,22 @@ class Stage:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        self._delete(self.path(name))
+        Files(self.spark, self.root).delete(name)
 
     def _let_go(self) -> None:
-        # Shuffle files stay on the executors' disks until the driver collects its garbage.
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Shuffle files stay on the executors' disks until the driver's JVM collects its garbage, by default every half hour.
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        So it is asked to, at most every few seconds; many small tables in turn don't pay for it.
+        """
+        global _let_go_at
+        if time.monotonic() - _let_go_at > _GC_SECONDS:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            _let_go_at = time.monotonic()
 
     def _forget(self) -> None:
         if self.spark.sparkContext._jsc is not None:
             try:
-                self._delete(self.root)
+                Files(self.spark, self.root).delete()
             except Exception:  # the JVM may already be gone when Python ends
                 return

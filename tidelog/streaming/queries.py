@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +14,36 @@ from tidelog.stage import Stage
 from tidelog.streaming.runner import Runner
 from tidelog.streaming.state import TOTALS, running_totals
 
+_runs: dict[tuple[str, str, str], object] = {}
+
+
+def _once(what: str, spark: SparkSession, sf_dir: str, make: Callable[[], object]) -> object:
+    """What several queries of one application share."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _runs:
+        _runs[key] = make()
+    return _runs[key]
+
+
+def _files(spark: SparkSession, sf_dir: str) -> str:
+    """The log as four files; how a message fails travels in its headers."""
+
+    def make() -> str:
+        path = Stage(spark, "stream-log").path("log")
+        facts = F.create_map(F.lit("fails_for"), F.array(F.col("fails_for").cast("string")), F.lit("error_class"), F.array("error_class"))
+        rows = failing(spark, sf_dir).select("topic", "partition", "offset", "timestamp", "key", "value", facts.alias("headers"), F.col("timestamp").alias("received_at"))
+        rows.repartitionByRange(4, "timestamp").write.parquet(path)
+        return path
+
+    return _once("files", spark, sf_dir, make)
 
-def _recorded(spark: SparkSession, sf_dir: str, stage: Stage) -> DataFrame:
-    """The log as a stream of files; how a message fails travels in its headers."""
-    facts = F.create_map(F.lit("fails_for"), F.array(F.col("fails_for").cast("string")), F.lit("error_class"), F.array("error_class"))
-    rows = failing(spark, sf_dir).select("topic", "partition", "offset", "timestamp", "key", "value", facts.alias("headers"), F.col("timestamp").alias("received_at"))
-    rows.repartitionByRange(4, "timestamp").write.parquet(stage.path("log"))
-    return spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 2).parquet(stage.path("log"))
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(LOG_SCHEMA).parquet(_files(spark, sf_dir))
+
+
+def _stream(spark: SparkSession, sf_dir: str, files: int = 2) -> DataFrame:
+    return spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files).parquet(_files(spark, sf_dir))
 
 
 def _consume(rows: DataFrame) -> DataFrame:
@@ -26,12 +51,18 @@ def _consume(rows: DataFrame) -> DataFrame:
     return rows.withColumn("failed", F.col("attempt") <= fails_for).withColumn("error_class", F.element_at(F.col("headers")["error_class"], 1))
 
 
+def _passes(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("failed", F.lit(False)).withColumn("error_class", F.lit(None).cast("string"))
+
+
 def _run(spark: SparkSession, sf_dir: str) -> Runner:
-    stage = Stage(spark, "stream")
-    runner = Runner(spark, stage.path("state"), _consume, DeadLetters("dead", max_retries=3, independent=True), ordered=False)
-    runner.start(_recorded(spark, sf_dir, stage)).awaitTermination()
-    runner.drain()
-    return runner
+    def make() -> Runner:
+        runner = Runner(spark, Stage(spark, "stream").path("state"), _consume, DeadLetters("dead", max_retries=3, independent=True), ordered=False)
+        runner.run(_stream(spark, sf_dir))
+        runner.drain()
+        return runner
+
+    return _once("run", spark, sf_dir, make)
 
 
 def stream_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +77,66 @@ def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir).processed().groupBy("partition", "attempts").agg(F.count("*").alias("messages"))
 
 
+def _counts(runner: Runner) -> DataFrame:
+    """How often each partition's messages were processed, and how many different ones."""
+    counts = runner.processed().groupBy("topic", "partition").agg(F.count("*").alias("deliveries"), F.countDistinct("offset").alias("messages"))
+    return counts.join(runner.cursors(), ["topic", "partition"])
+
+
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A consumer dies in its second round; another one on the same folder goes on."""
+    folder, left = Stage(spark, "stream-restart").path("state"), [1]
+
+    def dies(rows: DataFrame) -> DataFrame:
+        if not left:
+            raise RuntimeError("the consumer is gone")
+        left.pop()
+        return _consume(rows)
+
+    dead = DeadLetters("dead", max_retries=9, independent=True)
+    broken = Runner(spark, folder, dies, dead, ordered=False).start(_stream(spark, sf_dir))
+    try:
+        broken.awaitTermination()
+    except Exception:
+        if left or broken.exception() is None:
+            raise
+    runner = Runner(spark, folder, _consume, dead, ordered=False)
+    runner.run(_stream(spark, sf_dir))
+    runner.drain()
+    return _counts(runner)
+
+
+def stream_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between two parts of the stream partition 0 goes back to offset 10, and partition 1 on to 10 ** 6 when all is read."""
+    runner = Runner(spark, Stage(spark, "stream-seek").path("state"), _passes)
+    runner.run(_stream(spark, sf_dir))
+    cursors = lambda *rows: spark.createDataFrame(list(rows), "topic string, partition int, cursor long")
+    runner.seek(cursors(("events", 0, 10), ("events", 1, 10**6)), _recorded(spark, sf_dir))
+    runner.drain()
+    return _counts(runner)
+
+
+def stream_quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consumer is made quiet while its first round runs, and started again later."""
+    rounds, query = [], []
+
+    def consume(rows: DataFrame) -> DataFrame:
+        if not rounds:
+            runner.quiet = True  # what comes after this round isn't taken
+        rounds.append(1)
+        return _passes(rows)
+
+    runner = Runner(spark, Stage(spark, "stream-quiet").path("state"), consume)
+    query.append(runner.start(_stream(spark, sf_dir, files=1)))
+    try:
+        query[0].awaitTermination()
+    except Exception:
+        if not runner.quiet:
+            raise
+    runner.run(_stream(spark, sf_dir, files=1))
+    return _counts(runner)
+
+
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last totals that a stateful stream gave for each partition."""
     stage = Stage(spark, "totals")
@@ -53,16 +144,20 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     def keep(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(stage.path(f"totals/batch={number}"))
 
-    running = running_totals(_recorded(spark, sf_dir, stage)).writeStream.outputMode("update").option("checkpointLocation", stage.path("checkpoint")).trigger(availableNow=True).foreachBatch(keep).start()
+    running = running_totals(_stream(spark, sf_dir)).writeStream.outputMode("update").option("checkpointLocation", stage.path("checkpoint")).trigger(availableNow=True).foreachBatch(keep).start()
     running.awaitTermination()
     rows = spark.read.schema(TOTALS).parquet(stage.path("totals"))
     return rows.groupBy("topic", "partition").agg(F.max("messages").alias("messages"), F.max("last_offset").alias("last_offset"))
 
 
-QUERIES = {"stream_cursors": stream_cursors, "stream_dead_letters": stream_dead_letters, "stream_attempts": stream_attempts, "stream_totals": stream_totals}
+QUERIES = {f.__name__: f for f in (stream_cursors, stream_dead_letters, stream_attempts, stream_totals, stream_restart, stream_seek, stream_quiet)}
+_COUNTS = 'SELECT topic, partition, {deliveries} AS deliveries, n AS messages, {cursor} AS cursor FROM (SELECT topic, partition, count(*) AS n, max("offset") + 1 AS top FROM failing GROUP BY ALL)'
 ORACLES = {
     "stream_cursors": with_parts('SELECT topic, partition, max("offset") + 1 AS cursor FROM failing GROUP BY ALL', "failing"),
     "stream_dead_letters": with_parts("SELECT 'dead' AS topic, value, 'events' AS source_topic, partition AS source_partition, \"offset\" AS source_offset FROM failing WHERE fails_for > 3 AND error_class <> 'SystemExit'", "failing"),
     "stream_attempts": with_parts("SELECT partition, CAST(fails_for + 1 AS INTEGER) AS attempts, count(*) AS messages FROM failing WHERE fails_for <= 3 OR error_class = 'SystemExit' GROUP BY ALL", "failing"),
     "stream_totals": with_parts('SELECT topic, partition, count(*) AS messages, max("offset") AS last_offset FROM failing GROUP BY ALL', "failing"),
+    "stream_restart": with_parts(_COUNTS.format(deliveries="n", cursor="top"), "failing"),
+    "stream_seek": with_parts(_COUNTS.format(deliveries="n + CASE WHEN partition = 0 THEN n - 10 ELSE 0 END", cursor="CASE WHEN partition = 1 THEN 1000000 ELSE top END"), "failing"),
+    "stream_quiet": with_parts(_COUNTS.format(deliveries="n", cursor="top"), "failing"),
 }

@@ -2,42 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections import deque
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-TOTALS = "topic string, partition int, messages long, last_offset long, batches long"
+TOTALS = "topic string, partition int, messages long, last_offset long"
 
 
 def running_totals(stream: DataFrame) -> DataFrame:
-    """Messages, last offset and batches so far of each (topic, partition), kept between micro-batches.
-
-    One state a partition, as a consumer's own variables would be; rows of a batch come as Arrow
-    chunks and only their counts are kept.
-    """
-
-    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        messages, last, batches = state.get if state.exists else (0, -1, 0)
-        for chunk in chunks:
-            messages += len(chunk)
-            last = max(last, int(chunk["offset"].max()))
-        state.update((messages, last, batches + 1))
-        yield pd.DataFrame({"topic": [key[0]], "partition": [key[1]], "messages": [messages], "last_offset": [last], "batches": [batches + 1]})
-
-    return stream.select("topic", "partition", "offset").groupBy("topic", "partition").applyInPandasWithState(update, TOTALS, "messages long, last long, batches long", "update", GroupStateTimeout.NoTimeout)
+    """Messages and last offset so far of each (topic, partition), in Spark's own aggregation state; for update mode."""
+    return stream.groupBy("topic", "partition").agg(F.count("*").alias("messages"), F.max("offset").alias("last_offset"))
 
 
 class EventLog(StreamingQueryListener):
-    """Named events of streaming queries, as rows."""
+    """Named events of streaming queries: the last ``most`` as rows, and all of them to a logger if one is given."""
 
-    def __init__(self) -> None:
-        self.rows: list[tuple[str, str, str]] = []
+    def __init__(self, logger: logging.Logger | None = None, most: int = 10_000) -> None:
+        self.rows: deque[tuple[str, str, str]] = deque(maxlen=most)
+        self.logger = logger
 
     def _add(self, name: str, query: object, detail: str = "") -> None:
         self.rows.append((name, str(query), detail))
+        if self.logger is not None:
+            failed = name == "query.stopped" and detail
+            self.logger.log(logging.ERROR if failed else logging.INFO, "%s %s %s", name, query, detail)
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         self._add("query.started", event.id)
@@ -52,4 +43,4 @@ class EventLog(StreamingQueryListener):
         self._add("query.stopped", event.id, event.exception or "")
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "name string, query string, detail string")
+        return spark.createDataFrame(list(self.rows), "name string, query string, detail string")
