@@ -96,3 +96,13 @@ def test_failed_queries_are_started_again():
     left[:] = [RuntimeError("c")]
     with pytest.raises(RuntimeError):
         keep_running(Query, restarts=0, sleep=waits.append)
+
+
+def test_a_catalog_is_opened_again(spark, catalog, tmp_path):
+    catalog.create_topic("t", 2)
+    again = Catalog(spark, str(tmp_path))
+    assert counts(again) == counts(catalog) and again.table("brokers").count() == catalog.table("brokers").count()
+    again.create_topic("u", 1)
+    assert counts(Catalog(spark, str(tmp_path)))["u"] == 1
+    with pytest.raises(OSError, match="already"):  # the first catalog doesn't know of it
+        catalog.create_topic("w", 1)

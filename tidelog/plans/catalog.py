@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.plans import topics
+from tidelog.stage import Files
 
 DECLARATIONS = "topic string, active boolean, partitions int, replication_factor int, details map<string,string>"
 PARTITIONS = "topic string, partition int, replicas array<int>"
@@ -36,12 +37,15 @@ class Declarations:
 class Catalog:
     """Brokers, topic partitions and settings, each the table of its latest version.
 
-    A change writes a new version beside the old one and only then makes it the current one, so a
-    change that fails half way leaves the catalog as it was.
+    A change writes a new version beside the old one and only then, by a small file, makes it the
+    current one, so a change that fails half way leaves the catalog as it was, and a catalog opened
+    on the folder later is the same. Of two that write the same version at a time one fails.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.version = spark, folder, dict.fromkeys(_SCHEMAS, 0)
+        self.spark, self.folder, self.files = spark, folder, Files(spark, folder)
+        done = lambda name: [int(x.removeprefix("v")) for x in self.files.names(f"{name}/current") if x.removeprefix("v").isdigit()]
+        self.version = {name: max(done(name), default=0) for name in _SCHEMAS}
 
     def table(self, name: str) -> DataFrame:
         v = self.version[name]
@@ -49,6 +53,7 @@ class Catalog:
 
     def put(self, name: str, rows: DataFrame) -> None:
         rows.select(*(F.col(f.name).cast(f.dataType) for f in self.table(name).schema)).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{self.version[name] + 1}")
+        self.files.write(f"{name}/current/v{self.version[name] + 1}", "")
         self.version[name] += 1
 
     def _placed(self, wanted: DataFrame) -> DataFrame:
