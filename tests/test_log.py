@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog import queries as Q
 from tidelog.functions import payload
 from tidelog.functions.retry import DeadLetters, Pause
-from tidelog.operators import batches, failures, reads
+from tidelog.operators import batches, failures, metrics, reads
 from tidelog.plans import replication, routes
 from tidelog.sources import kafka
 from tidelog.sources.log import numbered, read_recorded, write_recorded
@@ -96,7 +96,46 @@ def test_dead_letter_settings():
     assert not DeadLetters().active and DeadLetters(False).active
 
 
+def test_kafka_rows_keep_their_bytes_and_headers(spark):
+    made = [("t", 0, 5, bytearray(b"\xff\x00"), bytearray(b"\x80"), [("a", bytearray(b"1")), ("b", None), ("a", bytearray(b"\xfe"))]), ("t", 0, 6, None, None, None)]
+    rows = spark.createDataFrame(made, "topic string, partition int, offset long, key binary, value binary, headers array<struct<key:string,value:binary>>").withColumn("timestamp", F.current_timestamp())
+    one, two = kafka.canonical(rows).orderBy("offset").collect()
+    assert (one.key, one.value) == (b"\xff\x00", b"\x80") and one.headers == {"a": [b"1", b"\xfe"], "b": [None]}
+    assert (two.key, two.value, two.headers) == (None, None, {})
+    back = kafka.outgoing(kafka.canonical(rows)).filter("key is not null").first()
+    assert sorted((h.key, h.value) for h in back.headers if h.value) == [("a", b"1"), ("a", b"\xfe")] and bytes(back.value) == b"\x80"
+    text = kafka.canonical(rows.withColumn("value", F.encode(F.lit("é"), "utf-8")).filter("offset = 6"), text=True).first()
+    assert text.value == "é"
+
+
+def test_unknown_topics_are_an_error(spark):
+    parts = spark.createDataFrame([("t", 0, [1, 2])], "topic string, partition int, replicas array<int>")
+    assert reads.topic_info(parts, "t").first().partition_count == 1
+    with pytest.raises(LookupError, match="unknown topic: u"):
+        reads.topic_info(parts, "u")
+
+
+def test_oldest_topics_are_forgotten(spark):
+    events = spark.createDataFrame([(1, "assign", "old", [0, 1]), (2, "assign", "mid", [0]), (3, "revoke", "new", [0]), (4, "assign", "old", [0])], "seq long, type string, topic string, partitions array<int>")
+    seen = lambda most: {(r.topic, r.partition, r.generation) for r in metrics.generations(events, most).collect()}
+    assert seen(100) == {("old", 0, 2), ("old", 1, 1), ("mid", 0, 1), ("new", 0, 0)}
+    assert seen(3) == {("mid", 0, 1), ("new", 0, 0)}
+
+
+def test_no_folder_is_made_up_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidelog.stage import shared_dir
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    for master in ("spark://a:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+    assert shared_dir(session("local[4]"))
+
+
 def test_client_settings_are_split():
+    assert not kafka.PRODUCER_ONLY & kafka.CONSUMER_ONLY
     settings = {"bootstrap.servers": "b", "acks": "all", "group.id": "g"}
     assert kafka.settings_for(settings, producer=True) == {"bootstrap.servers": "b", "acks": "all"}
     assert kafka.source_options(settings, ["t"], max_messages=5) == {"kafka.bootstrap.servers": "b", "subscribe": "t", "startingOffsets": "earliest", "includeHeaders": "true", "maxOffsetsPerTrigger": "5"}

@@ -25,6 +25,21 @@ def batch_metrics(batches: DataFrame) -> DataFrame:
     )
 
 
+def batch_histograms(batches: DataFrame, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Batch sizes and lags (ms) of each topic partition at some shares of its batches, one row a figure and share.
+
+    Exact: figures are counted by value with partial results before shares are looked for. Batches
+    not processed yet (-1) have no lag.
+    """
+    figures = ("size", "consumption_lag", "processing_lag")
+    rows = batches.select("topic", "partition", F.explode(F.array(*(F.struct(F.lit(f).alias("figure"), F.col(f).alias("value")) for f in figures))).alias("f")).select("topic", "partition", "f.*").filter("value >= 0")
+    keys = ["topic", "partition", "figure"]
+    counts = rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
+    asked = upto.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).filter(F.col("upto") >= F.ceil(F.col("share") * F.col("all")))
+    return asked.groupBy(*keys, "share").agg(F.min("value").alias("value"))
+
+
 def poll_metrics(polls: DataFrame) -> DataFrame:
     """Polls, messages and time of each subscription group (subscription_group, messages, time_ms)."""
     return polls.groupBy("subscription_group").agg(F.count("*").alias("polls"), F.sum("messages").alias("messages"), F.sum("time_ms").alias("time_ms"), F.max("time_ms").alias("max_time_ms"), F.count_if(F.col("messages") == 0).alias("empty"))
@@ -117,7 +132,13 @@ def assignments(events: DataFrame) -> DataFrame:
     return held.groupBy("subscription_group", "topic").agg(F.array_join(F.array_sort(F.collect_list("partition")), ",").alias("partitions"))
 
 
-def generations(events: DataFrame) -> DataFrame:
-    """How often each partition was assigned; 0 for one that was only revoked."""
-    each = events.filter("type <> 'reset'").select("type", "topic", F.explode("partitions").alias("partition"))
-    return each.groupBy("topic", "partition").agg(F.count_if(F.col("type") == "assign").alias("generation"))
+def generations(events: DataFrame, most: int = 100_000) -> DataFrame:
+    """How often each partition was assigned; 0 for one that was only revoked.
+
+    Beyond ``most`` partitions, whole topics are forgotten, those first seen longest ago first.
+    """
+    each = events.filter("type <> 'reset'").select("seq", "type", "topic", F.explode("partitions").alias("partition"))
+    counts = each.groupBy("topic", "partition").agg(F.count_if(F.col("type") == "assign").alias("generation"), F.min("seq").alias("seen"))
+    topics = counts.groupBy("topic").agg(F.count("*").alias("n"), F.min("seen").alias("seen"))
+    newer = F.sum("n").over(Window.orderBy(F.desc("seen"), "topic").rowsBetween(Window.unboundedPreceding, 0))  # a row a topic
+    return counts.join(topics.withColumn("upto", newer).filter(F.col("upto") <= most).select("topic"), "topic").select("topic", "partition", "generation")

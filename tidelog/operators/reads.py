@@ -84,7 +84,9 @@ def last_stable(log: DataFrame) -> DataFrame:
 
 
 def topic_info(partitions: DataFrame, name: str | None = None) -> DataFrame:
-    """Partition count and replication factor of each topic, or of one; a topic that isn't there has no row."""
+    """Partition count and replication factor of each topic, or of one; asking for one that isn't there is a LookupError."""
+    if name is not None and not partitions.filter(F.col("topic") == name).take(1):
+        raise LookupError(f"unknown topic: {name}")
     rows = partitions if name is None else partitions.filter(F.col("topic") == name)
     return rows.groupBy("topic").agg(F.count("*").alias("partition_count"), F.max(F.size("replicas")).alias("replication_factor"))
 

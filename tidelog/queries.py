@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog import fixtures
@@ -18,7 +18,8 @@ from tidelog.operators import failures as X
 from tidelog.operators import metrics as M
 from tidelog.operators import reads as R
 from tidelog.plans import replication, routes, topics
-from tidelog.sources.log import from_events, micros, numbered
+from tidelog.sources.log import EVENT_LOG, from_events, micros, numbered, read_recorded, write_recorded
+from tidelog.stage import Stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,14 +76,27 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+_logs: dict[tuple[str, str, str], str] = {}
+
+
+def _recorded(spark: SparkSession, sf_dir: str, name: str, topic: str | Column) -> DataFrame:
+    """The events recorded as a log, once for an application, and read as logs are: pruned by topic, partition and offsets."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _logs:
+        path = Stage(spark, f"log-{name}").path("log")
+        write_recorded(from_events(events(spark, sf_dir), topic), path)
+        _logs[key] = path
+    return read_recorded(spark, _logs[key], EVENT_LOG)
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One topic of everything."""
-    return from_events(events(spark, sf_dir))
+    return _recorded(spark, sf_dir, "events", "events")
 
 
 def tlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A topic for each type of event."""
-    return from_events(events(spark, sf_dir), F.col("event_type"))
+    return _recorded(spark, sf_dir, "types", F.col("event_type"))
 
 
 def skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,7 +424,18 @@ def _(s, d):
     return X.dead_letters(failing(s, d), DeadLetters(topic=False))
 
 
-@query("shared_retries")
+_USED = "(CASE WHEN w.dead THEN 0 ELSE w.total END) + f.fails_for"
+
+
+@query(
+    "shared_retries",
+    f"""WITH RECURSIVE f AS (SELECT *, error_class = 'SystemExit' AS critical, row_number() OVER (PARTITION BY topic, partition, batch ORDER BY "offset") AS no
+    FROM (SELECT *, CAST((row_number() OVER (PARTITION BY topic, partition ORDER BY "offset") - 1) // 100 AS BIGINT) AS batch FROM failing) WHERE fails_for > 0),
+    walk AS (SELECT topic, partition, batch, "offset", no, fails_for AS total, NOT critical AND fails_for > 3 AS dead FROM f WHERE no = 1
+    UNION ALL SELECT f.topic, f.partition, f.batch, f."offset", f.no, {_USED}, NOT f.critical AND {_USED} > 3 FROM walk w JOIN f ON f.topic = w.topic AND f.partition = w.partition AND f.batch = w.batch AND f.no = w.no + 1)
+    SELECT topic, partition, batch, "offset" FROM walk WHERE dead""",
+    "failing",
+)
 def _(s, d):
     return X.shared_attempts(B.batches(failing(s, d), 100), DeadLetters("dead"))
 
@@ -444,6 +469,17 @@ def _(s, d):
     return M.batch_metrics(_lags(s, d))
 
 
+@query(
+    "batch_histograms",
+    f"""WITH f AS (SELECT topic, partition, unnest(['size', 'consumption_lag', 'processing_lag']) AS figure, unnest([size, consumption_lag, processing_lag]) AS value FROM ({_LAGS})),
+    r AS (SELECT *, row_number() OVER w AS no, count(*) OVER (PARTITION BY topic, partition, figure) AS n FROM f WHERE value >= 0 WINDOW w AS (PARTITION BY topic, partition, figure ORDER BY value))
+    SELECT topic, partition, figure, share, CAST(value AS BIGINT) AS value FROM r, (SELECT unnest([0.5::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) AS share) WHERE no = ceil(share * n)""",
+    "meta",
+)
+def _(s, d):
+    return M.batch_histograms(_lags(s, d))
+
+
 @query("poll_metrics", "SELECT subscription_group, count(*) AS polls, sum(messages)::BIGINT AS messages, sum(time_ms)::BIGINT AS time_ms, max(time_ms) AS max_time_ms, count(CASE WHEN messages = 0 THEN 1 END) AS empty FROM polls GROUP BY ALL", "polls")
 def _(s, d):
     return M.poll_metrics(frame(s, "polls"))

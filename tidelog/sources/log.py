@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOG_SCHEMA = "topic string, partition int, offset long, timestamp timestamp_ntz, key string, value string, headers map<string, array<string>>, received_at timestamp_ntz"
+EVENT_LOG = "topic string, partition int, offset long, timestamp timestamp_ntz, key string, value string, event_id long, event_type string, amount double"
 PARTITIONS = 4
 _CHUNK = 1 << 16
 
@@ -49,9 +50,9 @@ def from_events(events: DataFrame, topic: str | Column = "events", partitions: i
     return numbered(rows, ["topic", "partition"], "event_id", "offset")
 
 
-def read_recorded(spark: SparkSession, path: str) -> DataFrame:
+def read_recorded(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
     """A recorded log: Parquet laid out by topic and partition, so that both prune files and offsets are pushed down."""
-    return spark.read.schema(LOG_SCHEMA).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*(c.split()[0] for c in schema.replace("map<string, array<string>>", "map").split(", ")))
 
 
 def write_recorded(log: DataFrame, path: str) -> None:
