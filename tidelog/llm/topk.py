@@ -150,6 +150,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, stage: Stage | None
     # One row for each distinct vector length: how many groups and query sets it is dealt in.
     deal = sizes.select("dim", F.ceil(F.col("n") / _GROUP).cast("int").alias("groups"), F.ceil(F.col("q") / _QUERIES).cast("int").alias("sets")).filter("sets > 0")
     own = lambda n: F.pmod(F.xxhash64("vec_id", "no", F.lit(1)), F.col(n).cast("long")).cast("int")
+    searches = deal.agg(F.sum(F.col("groups").cast("long") * F.col("sets"))).first()[0] or 1
     docs = rows.join(deal, "dim").withColumn("group", own("groups"))
     docs = docs.withColumn("set", F.explode(F.sequence(F.lit(0), F.col("sets") - 1)))
     asks = rows.filter(is_query).join(deal, "dim").withColumn("set", own("sets"))
@@ -160,7 +161,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, stage: Stage | None
         groups = F.array(F.lit(0)) if first else F.sequence(F.lit(1), F.col("groups") - 1)
         mine = mine.filter("groups > 1" if not first else "true").withColumn("group", F.explode(groups))
         mine = mine.select("dim", "group", "set", "vec_id", "v", F.lit(0).cast("long").alias("copies"), F.lit(True).alias("query"), F.col("no").alias("query_no"), "floor")
-        return part.unionByName(mine).groupBy("dim", "group", "set").applyInArrow(_search(k), ROWS)
+        # a search is small in bytes and long in time: a task for each, not as many as fill a partition
+        return part.unionByName(mine).repartition(min(searches, 10_000), "dim", "group", "set").groupBy("dim", "group", "set").applyInArrow(_search(k), ROWS)
 
     begun = stage.save(searched(True, None), "first")
     floors = begun.groupBy(F.col("query_id").alias("vec_id"), F.col("query_no").alias("no")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
