@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
-_GC_SECONDS = 5.0
+_GC_SECONDS = 1.0
 _let_go_at = 0.0
 
 
@@ -99,7 +99,7 @@ class Stage:
     def _let_go(self) -> None:
         """Shuffle files stay on the executors' disks until the driver's JVM collects its garbage, by default every half hour.
 
-        So it is asked to, at most every few seconds; many small tables in turn don't pay for it.
+        So it is asked to, at most once a second; many small tables in turn don't pay for it.
         """
         global _let_go_at
         if time.monotonic() - _let_go_at > _GC_SECONDS:
