@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
 _GC_SECONDS = 1.0
+#: For tables of our own on a local file system (other systems don't see these settings): no checksum file beside each
+#: file. Without Hadoop's native library every file made there starts a process to set its rights, a checksum file too.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _let_go_at = 0.0
 
 
@@ -87,7 +90,7 @@ class Stage:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return the table as read again."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        df.write.mode("overwrite").options(**_PLAIN).option("compression", "zstd").parquet(self.path(name))
         schema = df.schema
         del df
         self._let_go()
