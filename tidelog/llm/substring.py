@@ -331,6 +331,7 @@ def remove_repeats(docs: DataFrame, stage: Stage, window: int = 13) -> DataFrame
     found = repeats(docs, stage, window).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "first")).alias("found"))
     found = stage.save(found.select(F.col("doc_id").alias("__found_doc_id"), F.col("row").alias("__found_row"), F.col("found").alias("__found")), "found")
     stage.drop("segments")
+    stage.drop("first")
     others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
     same = (docs["doc_id"] == F.col("__found_doc_id")) & (F.xxhash64(docs["text"]) == F.col("__found_row"))
     joined = docs.join(found.hint("merge"), same, "left").select(*(docs[c] for c in others), docs["text"], "__found")
