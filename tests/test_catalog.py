@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.fixtures import frame
 from tidelog.functions import strategies
 from tidelog.functions.retry import DeadLetters
-from tidelog.plans import replication, topics
+from tidelog.plans import replication, routes, topics
 from tidelog.plans.catalog import Catalog, Declarations
 from tidelog.plans.routes import Routes
 from tidelog.sources.log import LOG_SCHEMA
@@ -66,6 +66,20 @@ def test_strategies():
         strategies.select("active_job")
 
 
+def test_a_consumer_follows_its_features(spark, tmp_path):
+    make = lambda *features, dead=None: Runner.of(features, spark, str(tmp_path / "-".join(features)), lambda df: df, dead)
+    dead, mom, jobs = DeadLetters("dead"), "manual_offset_management", "active_job"
+    assert [(r.manual, r.ordered) for r in (make(), make(mom), make(jobs, mom), make("dead_letter_queue", mom, dead=dead))] == [(False, True), (True, True), (False, False), (True, True)]
+    for features, letters in (((), dead), (("dead_letter_queue",), None)):
+        with pytest.raises(ValueError, match="dead letters"):
+            make(*features, dead=letters)
+
+
+def test_job_topics_need_manual_marking(spark):
+    rows = spark.createDataFrame([("a", True, True), ("b", True, False), ("c", True, None), ("d", False, False)], "topic string, active_job boolean, manual_offset_management boolean")
+    assert {(r.topic, r.rule) for r in routes.job_violations(rows).collect()} == {("b", "manual_offset_management"), ("c", "manual_offset_management")}
+
+
 def test_routes_are_declared_in_order(spark):
     rows = Routes({"bootstrap.servers": "b"}).topic("g", "a", "A").topic("g", "b", "B", kafka={"x": "1"}).frame(spark).collect()
     assert [(r.topic, r.position) for r in rows] == [("a", 0), ("b", 1)] and rows[1].kafka == {"bootstrap.servers": "b", "x": "1"}

@@ -16,6 +16,13 @@ def batches(log: DataFrame, max_messages: int) -> DataFrame:
     return rows.withColumn("batch", F.floor(F.col("__no") / max_messages).cast("long")).drop("__no")
 
 
+def rate_limited(log: DataFrame, per_slot: int, slot_ms: int) -> DataFrame:
+    """Adds ``slot`` and ``not_before_ms``: when a consumer that pauses after every ``per_slot`` messages of a partition takes each."""
+    rows = numbered(log, ["topic", "partition"], "offset", "__no")
+    slot = F.floor(F.col("__no") / per_slot).cast("long")
+    return rows.withColumn("slot", slot).withColumn("not_before_ms", slot * slot_ms).drop("__no")
+
+
 def batch_metadata(sliced: DataFrame, now_us: Column, *by: str) -> DataFrame:
     """Size, first and last offset and created_us of each batch; created_us is the last message's time, but never in the future."""
     keys = by or ("topic", "partition", "batch")

@@ -128,3 +128,8 @@ def dead_letter_violations(config: DataFrame) -> DataFrame:
     }
     broken = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in rules.items())))
     return config.select("topic", F.explode(broken).alias("rule"))
+
+
+def job_violations(features: DataFrame) -> DataFrame:
+    """Topics of jobs (topic, active_job, manual_offset_management) that would mark jobs by batch: a job that didn't run could count as done."""
+    return features.filter(F.col("active_job") & ~F.coalesce("manual_offset_management", F.lit(False))).select("topic", F.lit("manual_offset_management").alias("rule"))

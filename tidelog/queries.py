@@ -18,7 +18,7 @@ from tidelog.operators import failures as X
 from tidelog.operators import metrics as M
 from tidelog.operators import reads as R
 from tidelog.plans import replication, routes, topics
-from tidelog.sources.log import EVENT_LOG, from_events, micros, numbered, read_recorded, write_recorded
+from tidelog.sources.log import EVENT_LOG, from_events, micros, read_recorded, write_recorded
 from tidelog.stage import Stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,9 +315,7 @@ def _(s, d):
 
 @query("rate_limited", 'SELECT partition, "offset", CAST("offset" // 50 AS BIGINT) AS slot, CAST("offset" // 50 * 2000 AS BIGINT) AS not_before_ms FROM log', "log")
 def _(s, d):
-    rows = numbered(log(s, d), ["topic", "partition"], "offset", "no")
-    slot = F.floor(F.col("no") / 50).cast("long")
-    return rows.select("partition", "offset", slot.alias("slot"), (slot * 2000).alias("not_before_ms"))
+    return B.rate_limited(log(s, d), 50, 2000).select("partition", "offset", "slot", "not_before_ms")
 
 
 @query("feedback_loop", "WITH RECURSIVE loop AS (SELECT 0 AS turn, 3 AS value UNION ALL SELECT turn + 1, value * 2 + 1 FROM loop WHERE turn < 12) SELECT turn, CAST(value AS BIGINT) AS value FROM loop")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.functions.retry import DeadLetters, Pause, decision
+from tidelog.functions.strategies import select
 from tidelog.sources.log import LOG_SCHEMA
 from tidelog.stage import Files
 
@@ -88,6 +89,18 @@ class Runner:
                 if name.startswith("round=") and int(name[6:]) > self.round:
                     self.files.delete(f"{table}/{name}")
 
+    @classmethod
+    def of(cls, features: Iterable[str], spark: SparkSession, folder: str, consume: Callable[[DataFrame], DataFrame], dead: DeadLetters | None = None, **settings: object) -> Runner:
+        """A consumer that follows the rules of its topic's features (see :func:`tidelog.functions.strategies.select`).
+
+        Without automatic marking it is manual, dead letters need their feature and a setting, and
+        jobs are run, retried and marked each by itself.
+        """
+        rules = select(*features)
+        if rules.dispatches != (dead is not None and dead.active):
+            raise ValueError(f"strategy {rules.name} {'needs' if rules.dispatches else 'has no'} dead letters")
+        return cls(spark, folder, consume, dead or DeadLetters(), manual=not (rules.marks or rules.each), ordered=not rules.each, **settings)
+
     # ----------------------------------------------------------------------- tables
 
     def _table(self, table: str, schema: str, number: int) -> DataFrame:
