@@ -93,7 +93,7 @@ class WordEncoder:
         odd = {w for w in new if not w or w[0].isspace() or len(w) > _LONG}  # white spaces meet before these, or too long to keep
         whole, parts, heads = [], [], {s[0] for s in split if len(s[0]) <= _LONG}
         for w in new - odd:
-            m = _PARTS.fullmatch(w)
+            m = None if w.isalpha() else _PARTS.fullmatch(w)
             if m is None or m.end(1) == len(w):
                 whole.append(w)
             else:
