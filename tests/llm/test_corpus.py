@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,9 +90,10 @@ def brute_components(rows, k, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "percent", "block"), [(4, 85, 400), (5, 80, 400), (4, 85, 3), (1, 50, 4)])
-def test_join_equals_brute_force(spark, monkeypatch, k, percent, block):
-    monkeypatch.setattr(ngram_join, "_BLOCK", block)
+@pytest.mark.parametrize(("k", "percent", "block", "blocks", "n_grams"), [(4, 85, 400, 64, 4_000_000), (5, 80, 400, 64, 4_000_000), (4, 85, 3, 64, 4_000_000), (1, 50, 4, 2, 4_000_000), (4, 85, 2, 2, 300)])
+def test_join_equals_brute_force(spark, monkeypatch, k, percent, block, blocks, n_grams):
+    for name, value in (("_BLOCK", block), ("_BLOCKS", blocks), ("_BLOCK_GRAMS", n_grams)):
+        monkeypatch.setattr(ngram_join, name, value)
     rows = corpus(k + percent)
     got = ngram_join.join(frame(spark, rows), Stage(spark, "test"), k, percent).collect()
     assert len(got) == len(rows)
@@ -102,10 +104,33 @@ def test_join_equals_brute_force(spark, monkeypatch, k, percent, block):
 def test_overlaps_of_thick_and_thin_columns():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, 50).astype("<u8")) for _ in range(90)]
-    got = ngram_join.overlaps(sets[:70], sets[20:])
+    got = ngram_join.overlaps(ngram_join._columns(sets[:70]), 70, ngram_join._columns(sets[20:]), 70)
     assert (got == [[len(np.intersect1d(a, b)) for b in sets[20:]] for a in sets[:70]]).all()
 
 
+@pytest.mark.parametrize(("tile", "n_grams"), [(400, 1_000_000), (7, 1_000_000), (400, 90)])
+@pytest.mark.parametrize("sides", [1, 2])
+def test_product_in_tiles(monkeypatch, tile, n_grams, sides):
+    """Numbers of links and what they connect don't depend on the tiles."""
+    monkeypatch.setattr(ngram_join, "_BLOCK", tile)
+    monkeypatch.setattr(ngram_join, "_TILE_GRAMS", n_grams)
+    rng = np.random.default_rng(tile + sides)
+    base = [rng.integers(0, 1 << 60, 40).astype("<u8") for _ in range(5)]
+    sets = [np.unique(np.concatenate([base[i % 5][rng.random(40) < 0.95], rng.integers(0, 1 << 60, 2).astype("<u8")])) for i in range(60)]
+    side, copies = rng.integers(0, sides, 60), rng.integers(1, 4, 60)
+    linked = np.array([[i != j and (sides == 1 or side[i] != side[j]) and 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    table = pa.table({"side": side, "v": np.arange(60) + 1000, "n": [len(x) for x in sets], "copies": copies, "grams": pa.array([x.tobytes() for x in sets], pa.binary())})
+    got = ngram_join._product(85)(table).to_pylist()
+    assert {r["a"] - 1000: r["links"] for r in got if r["b"] is None} == {i: int(x) for i, x in enumerate(linked @ copies) if x}
+    edges = [(r["a"] - 1000, r["b"] - 1000) for r in got if r["b"] is not None]
+    assert edges and all(linked[i, j] for i, j in edges)
+    label = np.arange(60)
+    parts = 60 - len(edges)  # of a forest
+    while (new := np.where(linked, label[None, :], label[:, None]).min(1)).tolist() != label.tolist():
+        label = np.minimum(label, new)
+    assert len(set(label.tolist())) == parts
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.v: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Stage(spark, "test")).collect()}

@@ -14,6 +14,10 @@ its transpose. The product is made in blocks, and only where size-derived bounds
 * Within a family only sets of the same or the next size class can be linked (a class spans a
   factor 1 / t). Each pair of blocks of such classes is one product: overlap counts are
   accumulated n-gram by n-gram, and pairs below the bound are discarded.
+* A set is copied to each product of its block. A class has up to 64 blocks of 400 sets; if it is
+  larger its blocks grow, and become more only where they would have more than 4,000,000 n-grams
+  (32 MB), so copies grow with the bytes of the family over 32 MB. A task goes through its product
+  in tiles of 400 by 400 sets and keeps of the links a forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ POSTINGS = "h long, sig long, n long, r0 long, later boolean"
 MEMBERS = "v long, family long, copies long, n long, grams binary"
 REGION = 1 << 62  # a quarter of the unsigned 64-bit hashes
 _BUCKETS, _PER = 1 << 18, 1 << 12
-_BLOCK = 400
+_BLOCK, _BLOCKS = 400, 64  # sets of a block while a size class has no more than so many blocks
+_BLOCK_GRAMS, _TILE_GRAMS = 4_000_000, 1_000_000
 
 
 def grams(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,28 +179,34 @@ def _size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
 
 
-def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Numbers of common elements of each set of ``a`` with each of ``b``: one block of the product."""
-    h = np.concatenate([*a, *b])
-    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
-    order = np.lexsort((row, h))
+def _columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a block of the incidence matrix, by n-gram: n-grams and the rows that have them."""
+    h, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(h, kind="stable")
+    return h[order], row[order]
+
+
+def overlaps(a: tuple[np.ndarray, np.ndarray], n_a: int, b: tuple[np.ndarray, np.ndarray], n_b: int) -> np.ndarray:
+    """Numbers of common n-grams of each of the ``n_a`` rows of ``a`` with each of the ``n_b`` of ``b``: one block of the product."""
+    h, row = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1] + n_a])
+    order = np.argsort(h, kind="stable")  # merges two sorted runs
     h, row = h[order], row[order]
     cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    of_a = np.add.reduceat((row < len(a)).astype(np.int64), cut)
+    of_a = np.add.reduceat((row < n_a).astype(np.int64), cut)
     of_b = np.diff(np.append(cut, len(h))) - of_a
-    out = np.zeros(len(a) * len(b), np.int64)
+    out = np.zeros(n_a * n_b, np.int64)
     thick = of_a * of_b > 4096
     # columns of many documents: dense; a lot of them at a time
     columns = np.flatnonzero(thick)
-    dense = np.zeros((len(a), len(b)), np.float32)
+    dense = np.zeros((n_a, n_b), np.float32)
     for at in range(0, len(columns), 1024):
         part = columns[at : at + 1024]
-        left, right = np.zeros((len(a), len(part)), np.float32), np.zeros((len(b), len(part)), np.float32)
-        for i, c in enumerate(part.tolist()):
-            rows = row[cut[c] : cut[c] + of_a[c] + of_b[c]]
-            left[rows[: of_a[c]], i] = 1
-            right[rows[of_a[c] :] - len(a), i] = 1
-        dense += left @ right.T
+        size = of_a[part] + of_b[part]
+        column = np.repeat(np.arange(len(part)), size)
+        rows = row[np.repeat(cut[part], size) + np.arange(len(column)) - np.repeat(np.cumsum(size) - size, size)]
+        both = np.zeros((n_a + n_b, len(part)), np.float32)
+        both[rows, column] = 1
+        dense += both[:n_a] @ both[n_a:].T
     # the others: each pair of entries of a column is one count
     columns = np.flatnonzero(~thick & (of_a > 0) & (of_b > 0))
     pairs = of_a[columns] * of_b[columns]
@@ -207,55 +218,71 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         col = np.repeat(c, p)
         k = np.arange(len(col)) - np.repeat(np.cumsum(p) - p, p)
         i, j = k // of_b[col], k % of_b[col]
-        out += np.bincount(row[cut[col] + i] * len(b) + row[cut[col] + of_a[col] + j] - len(a), minlength=len(out))
+        out += np.bincount(row[cut[col] + i] * n_b + row[cut[col] + of_a[col] + j] - n_a, minlength=len(out))
         at = to
-    return out.reshape(len(a), len(b)) + dense.astype(np.int64)
+    return out.reshape(n_a, n_b) + dense.astype(np.int64)
+
 
+def _tiles(rows: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Rows in lots of at most 400 that have a bounded number of n-grams together, one row at least."""
+    ends, out, at = np.cumsum(size[rows]), [], 0
+    while at < len(rows):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TILE_GRAMS, "right"))
+        to = min(max(to, at + 1), at + _BLOCK)
+        out.append(rows[at:to])
+        at = to
+    return out
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Some of the links, that connect what all of them connect."""
-    parent: dict[int, int] = {}
 
-    def top(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def _connect(label: np.ndarray, i: np.ndarray, j: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links between rows ``i`` and ``j`` that connect what wasn't connected yet; ``label`` is brought up to date.
 
+    Each pass takes one such link of each row, so that the passes are few and links within what is
+    connected, which may be all pairs, are never listed.
+    """
     out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = top(x), top(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+    while True:
+        new = linked & (label[i][:, None] != label[j][None, :])
+        rows = np.flatnonzero(new.any(1))
+        if not len(rows):
+            return out
+        for x, y in zip(i[rows].tolist(), j[new[rows].argmax(1)].tolist(), strict=True):
+            low, high = sorted((int(label[x]), int(label[y])))
+            if low != high:
+                label[label == high] = low
+                out.append((x, y))
 
 
 def _product(percent: int):
+    """Links between the sets of two blocks, or of one: a forest that connects them, and how many each set has."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         side = table.column("side").to_numpy()
         v, n, copies = (table.column(c).to_numpy() for c in ("v", "n", "copies"))
-        sets = [np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()]
+        grams = table.column("grams").chunk(0) if len(table) else pa.array([], pa.binary())
         same = bool((side == 0).all())
-        left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        a, b = [], []
-        links = np.zeros(len(v), np.int64)
-        if len(left) and len(right):
-            common = overlaps([sets[i] for i in left], [sets[i] for i in right])
-            linked = 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
-            linked &= v[left][:, None] != v[right][None, :]
-            if same:
-                links[left] = linked @ copies[left]
-                linked = np.triu(linked)
-            else:
-                links[left], links[right] = linked @ copies[right], copies[left] @ linked
-            i, j = np.nonzero(linked)
-            a, b = v[left][i], v[right][j]
-        edges = _forest(np.asarray(a, np.int64), np.asarray(b, np.int64))
+
+        def cut(rows: np.ndarray) -> list[tuple]:
+            return [(t, _columns([np.frombuffer(x, "<u8") for x in grams.take(pa.array(t)).to_pylist()])) for t in _tiles(rows, n)]
+
+        left = cut(np.flatnonzero(side == 0))
+        right = left if same else cut(np.flatnonzero(side == 1))
+        edges, links, label = [], np.zeros(len(v), np.int64), np.arange(len(v))
+        for p, (i, a) in enumerate(left):
+            for q, (j, b) in enumerate(right):
+                if same and q < p:
+                    continue
+                common = overlaps(a, len(i), b, len(j))
+                linked = 100 * common >= percent * (n[i][:, None] + n[j][None, :] - common)
+                linked &= v[i][:, None] != v[j][None, :]
+                links[i] += linked @ copies[j]
+                if not (same and p == q):
+                    links[j] += copies[i] @ linked
+                edges += _connect(label, i, j, linked)
         some = np.flatnonzero(links)
-        return pa.table({"a": pa.array([*(e[0] for e in edges), *v[some].tolist()], pa.int64()), "b": pa.array([*(e[1] for e in edges), *([None] * len(some))], pa.int64()), "links": pa.array([*([0] * len(edges)), *links[some].tolist()], pa.int64())})
+        x, y = np.array(edges, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.concatenate([v[x], v[some]]), "b": pa.array([*v[y].tolist(), *([None] * len(some))], pa.int64()), "links": np.concatenate([np.zeros(len(x), np.int64), links[some]])})
 
     return run
 
@@ -296,7 +323,7 @@ def join(docs: DataFrame, stage: Stage, k: int = 4, percent: int = 85) -> DataFr
     # members grow with the documents: the same plan at every size, not a broadcast while they are few
     texts = docs.select("doc_id", "text").join(members.withColumn("doc_id", F.col("v")).hint("merge"), "doc_id").select("text", "sig", "v", "family", "copies", "n")
     full = stage.save(texts.mapInArrow(to_sets, MEMBERS).withColumn("size", _size_class(F.col("n"), percent)), "full")
-    blocks = full.groupBy("family", "size").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
+    blocks = full.groupBy("family", "size").agg(F.greatest(F.least(F.ceil(F.count("*") / _BLOCK), F.lit(_BLOCKS)), F.ceil(F.sum("n") / _BLOCK_GRAMS)).cast("int").alias("blocks"))
     dealt = full.join(blocks, ["family", "size"]).join(blocks.select("family", (F.col("size") - 1).alias("size"), F.col("blocks").alias("above")), ["family", "size"], "left").join(blocks.select("family", (F.col("size") + 1).alias("size"), F.col("blocks").alias("below")), ["family", "size"], "left")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks").cast("long")).cast("int"))
     # the products a set takes part in: with the blocks of its own class, of the next, and of the one before
