@@ -16,6 +16,8 @@ _GC_SECONDS = 1.0
 #: For tables of our own on a local file system (other systems don't see these settings): no checksum file beside each
 #: file. Without Hadoop's native library every file made there starts a process to set its rights, a checksum file too.
 _PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Spark removes an execution's shuffle files at its end, not once its plan is garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _let_go_at = 0.0
 
 
@@ -89,8 +91,16 @@ class Stage:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return the table as read again."""
-        df.write.mode("overwrite").options(**_PLAIN).option("compression", "zstd").parquet(self.path(name))
+        """Write ``df`` as Parquet and return the table as read again; its shuffle files go once it is written."""
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").options(**_PLAIN).option("compression", "zstd").parquet(self.path(name))
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         schema = df.schema
         del df
         self._let_go()
@@ -100,9 +110,9 @@ class Stage:
         Files(self.spark, self.root).delete(name)
 
     def _let_go(self) -> None:
-        """Shuffle files stay on the executors' disks until the driver's JVM collects its garbage, by default every half hour.
-
-        So it is asked to, at most once a second; many small tables in turn don't pay for it.
+        """Shuffle files of other executions (a query's own result, a count) stay on the executors' disks until the driver's
+        JVM collects its garbage, by default every half hour. So it is asked to, at most once a second; many small tables
+        in turn don't pay for it.
         """
         global _let_go_at
         if time.monotonic() - _let_go_at > _GC_SECONDS:
