@@ -101,6 +101,58 @@ def test_join_equals_brute_force(spark, monkeypatch, k, percent, block, blocks,
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize(("small", "tiles", "k", "percent"), [(0, 1, 5, 80), (15, 2, 2, 85), (60, 1, 5, 80), (1_000, 1, 1, 60)])
+def test_join_by_either_order_equals_brute_force(spark, monkeypatch, small, tiles, k, percent):
+    """Sets about the size at which the order changes, in classes of several blocks."""
+    for name, value in (("_SMALL", small), ("_TILES", tiles), ("_BLOCK", 2), ("_BLOCKS", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(small + percent)
+    base = [[rng.choice("abcdefghij") + str(rng.randrange(9)) for _ in range(m)] for m in (14, 18, 40, 70)]
+    rows = [*corpus(small + k, 60)]
+    for i in range(1_000, 1_080):
+        w = list(base[i % 4])
+        w = w[: len(w) - rng.randrange(len(w) // 4)]
+        for _ in range(rng.randrange(2)):
+            w[rng.randrange(len(w))] = rng.choice("xyz")
+        rows.append((i, " ".join(w)))
+    got = ngram_join.join(frame(spark, rows), Stage(spark, "test"), k, percent).collect()
+    want = brute_components(rows, k, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert sum(i != c for i, (_, c) in want.items()) > 30
+
+
+class Sizes(Stage):
+    """Keeps the number of rows of each table."""
+
+    def __init__(self, spark, what):
+        super().__init__(spark, what)
+        self.rows = {}
+
+    def save(self, df, name):
+        out = super().save(df, name)
+        self.rows[name] = out.count()
+        return out
+
+
+def test_phrases_shared_by_chance_make_no_family(spark):
+    """Unlike texts in a chain, each with a phrase of the one before, and one phrase in all: none of them is compared."""
+    own = lambda i: [f"o{i}x{j}" for j in range(28)]
+    phrase = lambda i: [f"p{i}y{j}" for j in range(8)]
+    chain = [(i, " ".join([*phrase(i), *own(i)[:14], "and", "so", "on", "as", "was", "said", *own(i)[14:], *phrase(i + 1)])) for i in range(150)]
+    twins = [(1_000, "one two three four five six seven eight nine ten eleven"), (1_001, "one two three four five six seven eight nine ten eleven twelve")]
+    stage = Sizes(spark, "test")
+    got = {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, chain + twins), stage, 5, 80).collect()}
+    assert got == {i: i for i, _ in chain} | {1_000: 1_000, 1_001: 1_000}
+    assert stage.rows["full"] == 2
+
+
+def test_large_class_is_copied_to_few_products(spark):
+    """10,000 short sets are a few blocks, not one for each 400 of them."""
+    rows = [(1, 20, i, 20, 1, bytearray(np.arange(20, dtype="<u8").tobytes())) for i in range(10_000)]
+    full = spark.createDataFrame(rows, "family long, size int, v long, n long, copies long, grams binary")
+    assert ngram_join._dealt(full).count() == 3 * 10_000
+
+
 def test_overlaps_of_thick_and_thin_columns():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, 50).astype("<u8")) for _ in range(90)]

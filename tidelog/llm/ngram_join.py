@@ -8,13 +8,20 @@ its transpose. The product is made in blocks, and only where size-derived bounds
   order used puts the quarter of all hashes below ``REGION`` first, the rarest first, then the
   others, and n-grams of very frequent hash buckets last. How rare an n-gram is comes from counts
   with partial results, and n-grams meet their counts in a join that can split a very frequent one.
+* A quarter of a small set is too little to choose from: phrases that unlike documents share by
+  chance, the more the larger the corpus, would stand in its prefix. So sets of up to ``_SMALL``
+  n-grams have an order of their own, the rarest of all their n-grams first. Sets that may be
+  linked with sets on either side of that size take part in both orders.
+* The smaller of two linked sets shares one of its first n - ceil(2t / (1 + t) * n) + 1, its
+  short prefix, with the prefix of the larger.
 * n-grams of a prefix that only one set holds link nothing. Sets whose prefix consists of such
   ones, as that of nearly every document without a near copy, go no further.
-* The others form families: sets connected by prefix n-grams. Every link lies within a family.
+* The others form families: sets connected by n-grams of a prefix and a short prefix, of sizes
+  that can be linked. Every link lies within a family.
 * Within a family only sets of the same or the next size class can be linked (a class spans a
   factor 1 / t). Each pair of blocks of such classes is one product: overlap counts are
   accumulated n-gram by n-gram, and pairs below the bound are discarded.
-* A set is copied to each product of its block. A class has up to 64 blocks of 400 sets; if it is
+* A set is copied to each product of its block. A class has up to 16 blocks of 4,000 sets; if it is
   larger its blocks grow, and become more only where they would have more than 4,000,000 n-grams
   (32 MB), so copies grow with the bytes of the family over 32 MB. A task goes through its product
   in tiles of 400 by 400 sets and keeps of the links a forest, never the pairs.
@@ -35,11 +42,13 @@ from tidelog.llm.components import components
 from tidelog.stage import Stage
 
 SETS = "doc_id long, n long, sig long, block int, counts binary"
-POSTINGS = "h long, sig long, n long, r0 long, later boolean"
+POSTINGS = "h long, sig long, n long, r0 long, kind int"
 MEMBERS = "v long, family long, copies long, n long, grams binary"
 REGION = 1 << 62  # a quarter of the unsigned 64-bit hashes
+_SMALL = 100  # up to so many n-grams a set is ordered by the counts of all of them
+_FIRST, _LATER, _OF_SMALL = 0, 1, 2  # kinds of postings: of the first region, what follows it, and of small sets
 _BUCKETS, _PER = 1 << 18, 1 << 12
-_BLOCK, _BLOCKS = 400, 64  # sets of a block while a size class has no more than so many blocks
+_BLOCK, _TILES, _BLOCKS = 400, 10, 16  # sets of a tile, tiles of a block while a size class has no more than so many blocks
 _BLOCK_GRAMS, _TILE_GRAMS = 4_000_000, 1_000_000
 
 
@@ -124,7 +133,9 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
 def _postings(docs: DataFrame, k: int, percent: int, frequent: bytes) -> DataFrame:
     """n-grams that may be in a prefix: those of the first region, or, where they are too few, what follows in the order.
 
-    A set that occurs again in a task is left out: a group of copies is one set for each task.
+    Of small sets all n-grams, under hashes of their own: they have an order of their own. A set that may be linked with
+    small and with larger ones has both. A set that occurs again in a task is left out: a group of copies is one set for
+    each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,30 +160,48 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent: bytes) -> DataFra
             place = ahead[:-1] - ahead[at[:-1]][doc[order]]
             take = np.zeros(len(h), bool)
             take[order] = ~behind | (place < lack[doc[order]])
-            take &= new[doc]
-            d = doc[take]
-            yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(sig[d].view(np.int64)), pa.array(n[d]), pa.array(r0[d]), pa.array(kind[take] > 0)], names)
+            take &= (new & (100 * n >= percent * (_SMALL + 1)))[doc]
+            small = (new & (n <= _SMALL))[doc]
+            d = np.concatenate([doc[take], doc[small]])
+            key = np.concatenate([h[take], mix(h[small] ^ np.uint64(0x9E6C63D0876A9A47))])
+            which = np.concatenate([np.where(kind[take] > 0, _LATER, _FIRST), np.full(small.sum(), _OF_SMALL)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sig[d].view(np.int64)), pa.array(n[d]), pa.array(np.where(which == _OF_SMALL, n[d], r0[d])), pa.array(which)], names)
 
     return docs.select("text").mapInArrow(run, POSTINGS)
 
 
 def _in_prefix(postings: DataFrame, percent: int, stage: Stage) -> DataFrame:
-    """Prefix n-grams that at least two tasks or sets gave.
+    """Prefix n-grams that at least two tasks or sets gave; ``first`` are those of the short prefix.
 
     An n-gram's place in the order goes by its number of postings, one for each task and set: any
     number does that is the same for all sets that hold it.
     """
     counts = postings.groupBy("h").agg(F.count("*").alias("df")).filter("df >= 2")
     # written, so that the join may split a very frequent n-gram and nothing relies on how it was dealt
-    counted = stage.save(postings.join(counts.hint("merge"), "h").select("h", "sig", "n", "r0", "later", "df"), "counted")
+    counted = stage.save(postings.join(counts.hint("merge"), "h").select("h", "sig", "n", "r0", "kind", "df"), "counted")
+    stage.drop("postings")
     once = counted.dropDuplicates(["sig", "h"])
-    of = Window.partitionBy("sig")
-    shared = F.count_if(~F.col("later")).over(of)
-    prefix = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    of = Window.partitionBy("sig", F.col("kind") == _OF_SMALL)
+    n, r0, later = F.col("n"), F.col("r0"), F.col("kind") == _LATER
+    shared = F.count_if(~later).over(of)
+    prefix = n - F.floor((percent * n + 99) / 100) + 1
+    short = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)) + 1
     # n-grams with one posting are the rarest and come first
-    slots = prefix - (F.col("r0") - shared)
-    place = F.row_number().over(of.orderBy("later", "df", "h"))
-    return once.withColumn("slots", slots).withColumn("place", place).filter(F.col("later") | (F.col("place") <= F.col("slots"))).select("h", "sig", "n")
+    place = F.row_number().over(of.orderBy(later, "df", "h")) + (r0 - shared)
+    placed = once.withColumn("place", place)
+    return placed.filter(later | (F.col("place") <= prefix)).select("h", "sig", "n", F.when(later, short > r0).otherwise(F.col("place") <= short).alias("first"))
+
+
+def _stars(prefix: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect what may be linked.
+
+    Each list of sets with a common prefix n-gram is a star for each size class: around the least signature of those that
+    have the n-gram in their short prefix stand all sets of that class and the next.
+    """
+    sized = prefix.withColumn("size", _size_class(F.col("n"), percent))
+    hubs = sized.filter("first").groupBy("h", "size").agg(F.min("sig").alias("hub"))
+    hubs = hubs.withColumn("size", F.explode(F.array("size", F.col("size") + 1)))
+    return sized.join(hubs, ["h", "size"]).select(F.col("sig").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
 
 
 def _size_class(n: Column, percent: int) -> Column:
@@ -287,6 +316,21 @@ def _product(percent: int):
     return run
 
 
+def _dealt(full: DataFrame) -> DataFrame:
+    """A row for each set and product that it takes part in."""
+    blocks = full.groupBy("family", "size").agg(F.greatest(F.least(F.ceil(F.count("*") / (_BLOCK * _TILES)), F.lit(_BLOCKS)), F.ceil(F.sum("n") / _BLOCK_GRAMS)).cast("int").alias("blocks"))
+    dealt = full.join(blocks, ["family", "size"]).join(blocks.select("family", (F.col("size") - 1).alias("size"), F.col("blocks").alias("above")), ["family", "size"], "left").join(blocks.select("family", (F.col("size") + 1).alias("size"), F.col("blocks").alias("below")), ["family", "size"], "left")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks").cast("long")).cast("int"))
+    # the products a set takes part in: with the blocks of its own class, of the next, and of the one before
+    struct = lambda size, i, upper, j, side: F.struct(size.alias("size1"), i.alias("i"), upper.alias("size2"), j.alias("j"), side.alias("side"))
+    zero, one, own, size = F.lit(0), F.lit(1), F.col("own"), F.col("size")
+    span = lambda n: F.when(F.coalesce(n, zero) > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<int>"))
+    within = F.transform(span(F.col("blocks")), lambda j: struct(size, F.least(own, j), size, F.greatest(own, j), F.when(own <= j, zero).otherwise(one)))
+    up = F.transform(span(F.col("above")), lambda j: struct(size, own, size + 1, j, zero))
+    down = F.transform(span(F.col("below")), lambda j: struct(size - 1, j, size, own, one))
+    return dealt.withColumn("t", F.explode(F.concat(within, up, down))).select("family", "t.*", "v", "n", "copies", "grams")
+
+
 def join(docs: DataFrame, stage: Stage, k: int = 4, percent: int = 85) -> DataFrame:
     """Component of each document (doc_id, text) under links of similarity ``percent`` / 100 or more.
 
@@ -302,12 +346,8 @@ def join(docs: DataFrame, stage: Stage, k: int = 4, percent: int = 85) -> DataFr
     sets = sets.filter("block is null").select("doc_id", "n", "sig")
     postings = stage.save(_postings(docs, k, percent, frequent), "postings")
     prefix = stage.save(_in_prefix(postings, percent, stage), "prefix")
-    stage.drop("postings")
     stage.drop("counted")
-    # each list of sets with a common prefix n-gram is a star around its least signature
-    hub = prefix.groupBy("h").agg(F.min("sig").alias("hub"))
-    stars = prefix.join(hub, "h").select(F.col("sig").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
-    families = components(stars, stage, "families")
+    families = components(_stars(prefix, percent), stage, "families")
     classes = sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies"), F.first("n").alias("n"))
     members = classes.join(families.select(F.col("v").alias("sig"), F.col("component").alias("family")), "sig").filter("v is not null")
     members = stage.save(members.select("v", "sig", "family", "copies", "n"), "members")
@@ -323,18 +363,7 @@ def join(docs: DataFrame, stage: Stage, k: int = 4, percent: int = 85) -> DataFr
     # members grow with the documents: the same plan at every size, not a broadcast while they are few
     texts = docs.select("doc_id", "text").join(members.withColumn("doc_id", F.col("v")).hint("merge"), "doc_id").select("text", "sig", "v", "family", "copies", "n")
     full = stage.save(texts.mapInArrow(to_sets, MEMBERS).withColumn("size", _size_class(F.col("n"), percent)), "full")
-    blocks = full.groupBy("family", "size").agg(F.greatest(F.least(F.ceil(F.count("*") / _BLOCK), F.lit(_BLOCKS)), F.ceil(F.sum("n") / _BLOCK_GRAMS)).cast("int").alias("blocks"))
-    dealt = full.join(blocks, ["family", "size"]).join(blocks.select("family", (F.col("size") - 1).alias("size"), F.col("blocks").alias("above")), ["family", "size"], "left").join(blocks.select("family", (F.col("size") + 1).alias("size"), F.col("blocks").alias("below")), ["family", "size"], "left")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks").cast("long")).cast("int"))
-    # the products a set takes part in: with the blocks of its own class, of the next, and of the one before
-    struct = lambda size, i, upper, j, side: F.struct(size.alias("size1"), i.alias("i"), upper.alias("size2"), j.alias("j"), side.alias("side"))
-    zero, one, own, size = F.lit(0), F.lit(1), F.col("own"), F.col("size")
-    span = lambda n: F.when(F.coalesce(n, zero) > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<int>"))
-    within = F.transform(span(F.col("blocks")), lambda j: struct(size, F.least(own, j), size, F.greatest(own, j), F.when(own <= j, zero).otherwise(one)))
-    up = F.transform(span(F.col("above")), lambda j: struct(size, own, size + 1, j, zero))
-    down = F.transform(span(F.col("below")), lambda j: struct(size - 1, j, size, own, one))
-    tasks = dealt.withColumn("t", F.explode(F.concat(within, up, down))).select("family", "t.*", "v", "n", "copies", "grams")
-    out = tasks.groupBy("family", "size1", "i", "size2", "j").applyInArrow(_product(percent), "a long, b long, links long")
+    out = _dealt(full).groupBy("family", "size1", "i", "size2", "j").applyInArrow(_product(percent), "a long, b long, links long")
     out = stage.save(out, "links")
     stage.drop("full")
     linked = components(out.filter("b is not null").select("a", "b"), stage, "linked")
